@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktext.operators.joins import lookup
-from sparktext.operators.tfidf import TermOptions, TfidfModel, build_vocabulary, doc_terms, normalize_rows
+from sparktext.operators.tfidf import TermOptions, TfidfModel, doc_terms, fitted, normalize_rows
 from sparktext.session import materialize
 
 # Fixed value: weight of a (class, term) pair never seen together.
@@ -34,7 +34,7 @@ def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
 
 def inverse_category_frequency(counts: DataFrame, label: str = "label") -> DataFrame:
     """(term, icf) with icf = ln((1 + classes) / (1 + classes holding the term))."""
-    pairs = counts.select(label, "term").distinct()
+    pairs = materialize(counts.select(label, "term").distinct())
     classes = pairs.select(label).distinct().agg(F.count(F.lit(1)).alias("_c"))
     held = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
     return held.crossJoin(F.broadcast(classes)).select("term", F.log((1 + F.col("_c")) / (1 + F.col("_t"))).alias("icf"))
@@ -52,9 +52,6 @@ class CategoryModel:
     cf: DataFrame
     label: str = "label"
 
-    def materialized(self) -> CategoryModel:
-        return CategoryModel(self.tfidf.materialized(), materialize(self.cf), self.label)
-
     def encode_with_labels(self, df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
         """Unit rows of tf-idf x cf(own label, term); unseen pairs weigh 1e-6."""
         rows = self.tfidf.weights(df, column, key, [self.label])
@@ -80,10 +77,9 @@ def fit_category_model(
     key: str = "doc_id",
 ) -> CategoryModel:
     counts = doc_terms(df, options, column, key, [label])
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    tfidf = TfidfModel(build_vocabulary(counts, n_docs, options), options)
-    known = lookup(counts, tfidf.vocabulary.select("term"), ["term"], spread_on=key, rows=options.max_features)
-    return CategoryModel(tfidf, category_frequency(known, class_sizes(df, label), label), label)
+    tfidf = fitted(counts, df, options)
+    known = lookup(counts, tfidf.vocabulary.select("term"), ["term"], spread_on=key, rows=tfidf.size)
+    return CategoryModel(tfidf, materialize(category_frequency(known, class_sizes(df, label), label)), label)
 
 
 def weight_by_inverse_cf(rows: DataFrame, icf: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktext.session import materialize, parallelism
+from sparktext.session import materialize
 
 # A lookup side is broadcast only after its rows were counted and found below this bound.
 BROADCAST_ROWS = 200_000
@@ -73,7 +73,7 @@ def salted_join(
     )
     right = (
         table.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).cast("bigint"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1)))
         .drop("_parts")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -94,14 +94,20 @@ def common_column_join(left: DataFrame, right: DataFrame, null_safe: bool = True
     return l.join(r, on, "inner").select("l.*", *extra)
 
 
+def common_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows found on both sides, once each, with their multiplicities ``left_rows`` and ``right_rows``.
+
+    The compact form of common_column_join: both sides are counted before they meet, so a row
+    with many copies costs one record and not the product of the copies.
+    """
+    common = [c for c in left.columns if c in right.columns]
+    a = left.groupBy(*common).agg(F.count(F.lit(1)).alias("left_rows"))
+    b = right.groupBy(*common).agg(F.count(F.lit(1)).alias("right_rows"))
+    return common_column_join(a, b)
+
+
 def pair_predictions(truth: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
     """Match predictions with true labels by row id, never by position."""
     require_columns(truth, key, "label")
     require_columns(predicted, key, "prediction")
     return truth.select(key, "label").join(predicted, key, "inner")
-
-
-__all__ = [
-    "BROADCAST_ROWS", "common_column_join", "lookup", "pair_predictions", "parallelism", "require_columns",
-    "salted_join",
-]

@@ -15,10 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktext.operators.joins import lookup
-from sparktext.session import parallelism
+from sparktext.session import materialize, parallelism
 
 SAMPLES_PER_RANGE = 16
 HASH_DIGITS = 5
+ONE_TASK_ROWS = 500_000
 
 
 def _cut_points(df: DataFrame, key: str, ranges: int) -> DataFrame:
@@ -58,14 +59,25 @@ def ranked(
     running: Mapping[str, str] | None = None,
     totals: Mapping[str, str] | None = None,
     descending: bool = False,
+    one_task: bool = False,
 ) -> DataFrame:
     """Add exact per-group row numbers, running sums and totals along ``order``.
 
     ``running`` and ``totals`` map a new column to the numeric column summed. ``order`` must be
-    unique within a group. NULL order keys come first.
+    unique within a group. NULL order keys come first. ``one_task`` says that the input is known
+    to fit one task, so plain windows do.
     """
     groups = list(groups)
     running, totals = dict(running or {}), dict(totals or {})
+    direction = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
+    if one_task:
+        along = W.partitionBy(*groups).orderBy(direction)
+        upto = along.rowsBetween(W.unboundedPreceding, W.currentRow)
+        sums = [F.sum(c).over(W.partitionBy(*groups)).alias(n) for n, c in totals.items()]
+        sums += [F.sum(c).over(upto).alias(n) for n, c in running.items()]
+        if number:
+            sums.append(F.row_number().over(along).cast("bigint").alias(number))
+        return df.select("*", *sums)
     ranges = max(2, min(1024, parallelism(df.sparkSession)))
     wide = df.crossJoin(F.broadcast(_cut_points(df, order, ranges)))
     sign = -1 if descending else 1
@@ -84,7 +96,6 @@ def ranked(
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{n}") for n, c in running.items()],
         *[F.sum(f"_sum_{c}").over(whole).alias(n) for n, c in totals.items()],
     )
-    direction = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
     inside = W.partitionBy(*groups, "_range").orderBy(direction)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = wide.alias("w").join(offsets.alias("o"), [*groups, "_range"], "inner")
@@ -94,6 +105,16 @@ def ranked(
     return out.select(*[F.col(c) for c in df.columns], *totals, *added)
 
 
+def ranked_table(df: DataFrame, order: str, groups: Sequence[str] = (), **kw) -> DataFrame:
+    """``ranked`` for an aggregated input: stored first, so that it is computed once, and counted.
+
+    Up to ``ONE_TASK_ROWS`` rows are ranked by plain windows, more by key ranges.
+    """
+    stored = materialize(df)
+    small = stored.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
+    return ranked(stored, order, groups, one_task=small, **kw)
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
@@ -109,7 +130,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(value, F.col(value).cast("double"))
     )
-    cum = ranked(counts, value, groups, number=None, running={"_upto": "_n"}, totals={"_all": "_n"})
+    cum = ranked_table(counts, value, groups, number=None, running={"_upto": "_n"}, totals={"_all": "_n"})
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
 
     def place(p: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparktext.functions import text
 from sparktext.operators.joins import lookup, require_columns
-from sparktext.operators.ranking import ranked
+from sparktext.operators.ranking import ONE_TASK_ROWS, ranked, ranked_table
 from sparktext.session import materialize
 
 
@@ -84,34 +84,29 @@ def build_vocabulary(counts: DataFrame, n_docs: DataFrame, options: TermOptions)
     kept = kept.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
     if options.max_features:
         kept = kept.orderBy(F.desc("corpus_count"), "term").limit(options.max_features)
-    numbered = ranked(kept, "term")
+    if options.max_features and options.max_features <= ONE_TASK_ROWS:
+        numbered = ranked(kept, "term", one_task=True)
+    else:
+        numbered = ranked_table(kept, "term")
     return numbered.select("term", (F.col("row_number") - 1).cast("int").alias("term_id"), "df", "corpus_count", "idf")
 
 
 @dataclass
 class TfidfModel:
-    """A fitted vocabulary. ``size`` is its row count once known, and decides on broadcasting."""
+    """A fitted vocabulary. ``size`` is its row count, which decides on broadcasting."""
 
     vocabulary: DataFrame
     options: TermOptions
-    size: int | None = None
-
-    def materialized(self) -> TfidfModel:
-        """Write the vocabulary to the shared folder, so later jobs read it instead of refitting."""
-        table = materialize(self.vocabulary)
-        return TfidfModel(table, self.options, table.count())
+    size: int
 
     def weights(self, df: DataFrame, column: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
         """Unnormalised weights (key, keep..., term, term_id, weight); unknown terms dropped."""
         counts = doc_terms(df, self.options, column, key, keep)
         found = lookup(
-            counts, self.vocabulary.select("term", "term_id", "idf"), ["term"], spread_on=key, rows=self._rows()
+            counts, self.vocabulary.select("term", "term_id", "idf"), ["term"], spread_on=key, rows=self.size
         )
         return found.select(key, *keep, "term", "term_id", (F.col("tf") * F.col("idf")).alias("weight"))
 
-    def _rows(self) -> int | None:
-        return self.size if self.size is not None else self.options.max_features
-
     def transform(self, df: DataFrame, column: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
         """Unit rows in long form (key, keep..., term, term_id, weight)."""
         return normalize_rows(self.weights(df, column, key, keep), key, keep)
@@ -163,9 +158,14 @@ def normalize_rows(weights: DataFrame, key: str = "doc_id", keep: Sequence[str]
 
 
 def fit_tfidf(df: DataFrame, options: TermOptions = TermOptions(), column: str = "text", key: str = "doc_id") -> TfidfModel:
-    counts = doc_terms(df, options, column, key)
+    """Fit and store the vocabulary: one pass over the texts."""
+    return fitted(doc_terms(df, options, column, key), df, options)
+
+
+def fitted(counts: DataFrame, df: DataFrame, options: TermOptions) -> TfidfModel:
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    return TfidfModel(build_vocabulary(counts, n_docs, options), options)
+    table = materialize(build_vocabulary(counts, n_docs, options))
+    return TfidfModel(table, options, table.count())
 
 
 def vector_struct(size: int, column: str = "terms") -> Column:
@@ -218,7 +218,7 @@ def padded_sequences(
         .limit(max_tokens - 2)
     )
     minus = F.struct((-F.col("n")).alias("n"), "token")
-    ids = ranked(vocabulary.withColumn("_order", minus), "_order").select(
+    ids = ranked_table(vocabulary.withColumn("_order", minus), "_order").select(
         "token", (F.col("row_number") + 1).cast("int").alias("token_id")
     )
     places = split.select(key, F.posexplode(F.slice("_tokens", 1, length)).alias("pos", "token"))
