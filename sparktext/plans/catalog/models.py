@@ -1 +1,162 @@
+"""Training and prediction. Most results depend on an optimiser and have no SQL counterpart."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from sparktext.functions import arrays, text
+from sparktext.operators import bayes, tfidf
+from sparktext.operators.sampling import train_test_split, with_positions
+from sparktext.plans import annotate, classify, experiment
+from sparktext.plans.catalog.registry import corpus, query
+from sparktext.plans.catalog.vectorising import SQL_TFIDF, options
+from sparktext.plans.catalog.weighting import model as category_model
+from sparktext.session import materialize
+from sparktext.sources.readers import read_table
+from sparktext.sources.vectors import as_vectors
+
+DIM = 64
+
+
+def _vectors(spark, sf):
+    df = read_table(spark, sf, "embeddings", "vec_id")
+    return materialize(classify.dense_vectors(df).select("vec_id", "label", "features"))
+
+
+def _predictions(spark, sf, name, params=None, data=None, n_features=DIM):
+    df = _vectors(spark, sf) if data is None else data
+    model = classify.make_classifier(name, df.count(), params, n_features, 10).fit(df)
+    return classify.predict(model, df, "vec_id", ["label"])
+
+
+@query("c1_logistic_regression")
+def logistic_regression(spark, sf):
+    return _predictions(spark, sf, "LogisticRegression", {"max_iter": 20})
+
+
+@query("c2_linear_svm")
+def linear_svm(spark, sf):
+    return _predictions(spark, sf, "SVM", {"max_iter": 5})
+
+
+@query("c2b_rbf_svm")
+def rbf_svm(spark, sf):
+    df = read_table(spark, sf, "embeddings", "vec_id")
+    gamma = classify.scale_gamma(df, "embedding", DIM)
+    mapped = classify.random_fourier_features(df, "embedding", DIM, 128, gamma)
+    data = materialize(classify.dense_vectors(mapped, "features_array").select("vec_id", "label", "features"))
+    return _predictions(spark, sf, "SVM", {"max_iter": 5}, data)
+
+
+@query("c3_gradient_boosted_trees")
+def gradient_boosted_trees(spark, sf):
+    return _predictions(spark, sf, "XGBClassifier", {"n_estimators": 2, "max_depth": 2})
+
+
+@query("c4_random_forest")
+def random_forest(spark, sf):
+    return _predictions(spark, sf, "RandomForest", {"n_estimators": 20, "max_depth": 5})
+
+
+@query(
+    "c5_naive_bayes",
+    f"""WITH {SQL_TFIDF}, g AS (SELECT label AS c, count(*) AS n FROM (SELECT list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS label FROM documents) GROUP BY 1),
+t AS (SELECT DISTINCT term FROM tfidf), w AS (SELECT label AS c, term, sum(weight) AS w FROM tfidf GROUP BY ALL), k AS (SELECT c, term, coalesce(w, 0) AS w FROM g CROSS JOIN t LEFT JOIN w USING (c, term)),
+l AS (SELECT c, term, ln(w + 1) - ln(sum(w) OVER (PARTITION BY c) + count(*) OVER (PARTITION BY c)) AS s FROM k),
+d AS (SELECT doc_id, c, sum(weight * s) AS s FROM tfidf JOIN l USING (term) GROUP BY ALL),
+j AS (SELECT doc_id, g.c, coalesce(s, 0) + ln(n / CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE)) AS s FROM documents CROSS JOIN g LEFT JOIN d USING (doc_id, c))
+SELECT doc_id, CAST(c AS INTEGER) AS prediction FROM j QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, c) = 1""",
+)
+def naive_bayes(spark, sf):
+    df = corpus(spark, sf)
+    rows = tfidf.fit_tfidf(df, options()).transform(df, keep=["label"])
+    return bayes.fit_bayes(df, rows, [0, 1, 2, 3]).predict(df, rows)
+
+
+@query("c5b_naive_bayes_on_vectors")
+def naive_bayes_on_vectors(spark, sf):
+    df = corpus(spark, sf)
+    model = tfidf.fit_tfidf(df, options(max_features=500))
+    vecs = as_vectors(model.encode(df).select("doc_id", "label", "terms"), model.size)
+    return classify.predict(classify.make_classifier("NaiveBayes", 0).fit(vecs), vecs, "doc_id", ["label"])
+
+
+@query("c6_feed_forward_network")
+def feed_forward_network(spark, sf):
+    return _predictions(spark, sf, "NeuralNetwork", {"hidden": [32], "max_iter": 20})
+
+
+@query("c7_scaled_classifier")
+def scaled_classifier(spark, sf):
+    return _predictions(spark, sf, "LogisticRegression", {"max_iter": 20, "normalize": True})
+
+
+@query("c8_grid_search")
+def grid_search(spark, sf):
+    found = classify.grid_search(_vectors(spark, sf), "LogisticRegression", {"C": [0.5, 1], "max_iter": [5]}, folds=3, key="vec_id")
+    points = [(i, float(m)) for i, m in enumerate(found.avgMetrics)]
+    return spark.createDataFrame(points, "point int, accuracy double")
+
+
+@query("c9_tuning_with_held_out_split")
+def tuning_with_held_out_split(spark, sf):
+    _, accuracy = classify.tune(_vectors(spark, sf), "RandomForest", {"max_depth": [3, 5], "n_estimators": [10]}, folds=2, key="vec_id")
+    return spark.createDataFrame([(float(accuracy),)], "held_out_accuracy double")
+
+
+@query("c10_c11_predictions_with_probabilities")
+def predictions_with_probabilities(spark, sf):
+    df = _vectors(spark, sf)
+    model = classify.make_classifier("LogisticRegression", df.count(), {"max_iter": 10}).fit(df)
+    return classify.predict_probabilities(model, df, "vec_id", ["label"])
+
+
+@query("c17_annotated_documents")
+def annotated_documents(spark, sf):
+    df = corpus(spark, sf)
+    m = category_model(spark, sf)
+    vecs = as_vectors(m.tfidf.encode(df).select("doc_id", "label", "terms"), m.tfidf.size)
+    lr = classify.make_classifier("LogisticRegression", vecs.count(), {"max_iter": 10}).fit(vecs)
+    return annotate.Annotator(m, lr).annotate(df.select("doc_id", "text")).drop("text")
+
+
+@query("c18_text_and_position_features")
+def text_and_position_features(spark, sf):
+    turns = read_table(spark, sf, "conversations", "conv_id")
+    placed = with_positions(turns, "conv_id", "turn").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    placed = placed.withColumn("label", (F.col("role") == "assistant").cast("int"))
+    chars = text.spaced_characters(F.lower("text"))
+    encode = F.transform(F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"]), lambda c: F.size(F.filter(F.split(chars, " "), lambda x: x == c)).cast("double"))
+    words = tfidf.fit_tfidf(placed, tfidf.TermOptions(max_features=300))
+    base = words.encode(placed).withColumn("chars", arrays.l2_normalize(encode))
+    vecs = as_vectors(base.select("doc_id", "label", "line_number", "total_lines", "chars", "terms"), words.size, output="words")
+    fused = classify.fuse_features(vecs.withColumn("chars", array_to_vector("chars")), ["words", "chars"], {"line_number": 15, "total_lines": 20})
+    model = classify.make_classifier("LogisticRegression", fused.count(), {"max_iter": 10}).fit(fused)
+    return classify.predict(model, fused, "doc_id", ["label"])
+
+
+@query("e7_training_curve")
+def training_curve(spark, sf):
+    df = _vectors(spark, sf)
+    boosted = classify.make_classifier("XGBClassifier", df.count(), {"n_estimators": 2, "max_depth": 2}).fit(df)
+    return classify.training_curve(boosted, df)
+
+
+@query("e7b_optimiser_history")
+def optimiser_history(spark, sf):
+    df = _vectors(spark, sf)
+    return classify.training_curve(classify.make_classifier("LogisticRegression", df.count(), {"max_iter": 10}).fit(df), df)
+
+
+@query("x6_experiment_report")
+def experiment_report(spark, sf):
+    split = train_test_split(corpus(spark, sf))
+    config = {
+        "experiment_name": "language",
+        "embeddings": {"type": "tfidf", "params": {"max_features": 500}, "pre_process": {"remove_stopwords": False}},
+        "model": {"classifier": "LogisticRegression", "params": {"max_iter": 20, "C": 1.0}},
+    }
+    return experiment.run_experiment(spark, config, split.where("split = 'train'"), test=split.where("split = 'test'"))
+
 

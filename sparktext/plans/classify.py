@@ -57,13 +57,15 @@ def make_classifier(name: str, n_rows: int, params: Mapping | None = None, n_fea
         model = OneVsRest(
             classifier=LinearSVC(
                 maxIter=p.get("max_iter", 100), tol=p.get("tol", 1e-3), regParam=1.0 / (p.get("C", 1.0) * max(1, n_rows)), standardization=False
-            )
+            ),
+            parallelism=4,
         )
     elif name == "XGBClassifier":
         model = OneVsRest(
             classifier=GBTClassifier(
                 maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), minInfoGain=p.get("gamma", 0.0), seed=42
-            )
+            ),
+            parallelism=4,
         )
     elif name == "RandomForest":
         model = RandomForestClassifier(
@@ -105,7 +107,7 @@ def random_fourier_features(df: DataFrame, column: str, dim: int, n_features: in
 
 def scale_gamma(df: DataFrame, column: str, dim: int) -> float:
     """Kernel width ``scale``: 1 / (dim * variance over all entries)."""
-    row = df.select(F.explode(column).cast("double").alias("x")).agg(F.var_pop("x").alias("v")).first()
+    row = df.select(F.explode(column).alias("x")).agg(F.var_pop(F.col("x").cast("double")).alias("v")).first()
     return 1.0 / (dim * row["v"]) if row["v"] else 1.0
 
 
@@ -130,6 +132,8 @@ def _grid(model: Estimator, options: Mapping[str, Sequence], n_rows: int):
     for name, values in options.items():
         if name == "C":
             builder.addGrid(target.regParam, [1.0 / (c * max(1, n_rows)) for c in values])
+        elif name == "n_estimators" and hasattr(target, "numTrees"):
+            builder.addGrid(target.numTrees, list(values))
         elif name in names and hasattr(target, names[name]):
             builder.addGrid(getattr(target, names[name]), list(values))
     return builder.build()
@@ -180,7 +184,7 @@ def training_curve(model: Model, df: DataFrame) -> DataFrame:
     if hasattr(model, "models"):
         for c, part in enumerate(model.models):
             if hasattr(part, "evaluateEachIteration"):
-                binary = df.withColumn("label", (F.col("label") == c).cast("double"))
+                binary = df.withColumn(part.getLabelCol(), (F.col("label") == c).cast("double"))
                 rows += [(c, i + 1, float(x)) for i, x in enumerate(part.evaluateEachIteration(binary))]
             else:
                 rows += [(c, i, float(x)) for i, x in enumerate(part.summary().objectiveHistory)]

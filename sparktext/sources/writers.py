@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,23 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Files that each hold one JSON array with the rows of one partition."""
+
+    def bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = "["
+        for pdf in batches:
+            if len(pdf):
+                marks = [lead] + [","] * (len(pdf) - 1)
+                yield pd.DataFrame({"value": [m + v for m, v in zip(marks, pdf["value"], strict=True)]})
+                lead = ","
+        if lead == ",":
+            yield pd.DataFrame({"value": ["]"]})
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    lines.mapInPandas(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Small metric tables as one JSON file."""
     df.coalesce(1).write.mode(mode).json(path)
