@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparktext.functions.text import _col
+from sparktext.functions.text import _col, let
 
-# HTML character references decoded besides the numeric ones; &amp; comes last.
+# HTML character references decoded besides the numeric ones and &amp;.
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&cent;", "¢"), ("&pound;", "£"), ("&yen;", "¥"), ("&euro;", "€"), ("&copy;", "©"),
@@ -24,27 +22,31 @@ ENTITIES = (
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)\s*>"
 ANY_TAG = r"(?s)</?[a-zA-Z!][^>]*>"
-NUMERIC = r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
+REFERENCE = r"(&[a-zA-Z]{1,8};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
+MARK = "\u0000"
 
 
 def _numeric(part: Column) -> Column:
     """One numeric reference -> its character; surrogates and values out of range stay as written."""
     body = F.regexp_extract(part, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-    base_hex = part.rlike(r"^&#[xX]")
-    code = F.when(base_hex, F.conv(body, 16, 10)).otherwise(body).cast("int")
+    code = F.when(part.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body).cast("int")
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise(part)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(part)
 
 
 def decode_entities(c: Column | str) -> Column:
-    """Named references by replacement, numeric ones by code point, ``&amp;`` last."""
-    col = _col(c)
-    named = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, col)
-    marked = F.split(F.regexp_replace(named, NUMERIC, "\u0000$1\u0000"), "\u0000")
-    numeric = F.array_join(F.transform(marked, lambda p: F.when(p.rlike("^&#"), _numeric(p)).otherwise(p)), "")
-    with_numeric = F.when(named.contains("&#"), numeric).otherwise(named)
-    return F.replace(with_numeric, F.lit("&amp;"), F.lit("&"))
+    """Decode named and numeric references in one pass; unknown ones stay as written."""
+    names = F.create_map(*[F.lit(x) for pair in (*ENTITIES, ("&amp;", "&")) for x in pair])
+
+    def decoded(part: Column) -> Column:
+        return F.when(part.startswith("&#"), _numeric(part)).otherwise(F.coalesce(F.try_element_at(names, part), part))
+
+    def split(value: Column) -> Column:
+        parts = F.split(F.regexp_replace(value, REFERENCE, f"{MARK}$1{MARK}"), MARK)
+        whole = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&"), decoded(p)).otherwise(p)), "")
+        return F.when(value.contains("&"), whole).otherwise(value)
+
+    return let(_col(c), split)
 
 
 def visible_text(c: Column | str) -> Column:

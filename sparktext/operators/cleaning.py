@@ -74,15 +74,21 @@ def clean_text(
     options: CleanOptions = CleanOptions(),
     key: str = "doc_id",
     lemmas: DataFrame | None = None,
-    output: str | None = None,
+    drop_blank: bool = False,
 ) -> DataFrame:
-    """Clean one column. Lemmatising and stemming run once per distinct word, not per row."""
+    """Clean one column; ``drop_blank`` also drops NULL and blank results.
+
+    Lemmatising and stemming run once per distinct word, not per row.
+    """
     require_columns(df, column)
-    out = df.withColumn(output or column, clean_expression(column, options))
+    cleaned = clean_expression(column, options)
+    if drop_blank:
+        cleaned = keep_if(cleaned, lambda t: F.trim(t) != "")
+    out = df.select(*[cleaned.alias(c) if c == column else F.col(c) for c in df.columns])
     if options.lemma:
-        return map_words(out, output or column, key, lambda ws: lemmatize(ws, lemmas))
+        return map_words(out, column, key, lambda ws: lemmatize(ws, lemmas))
     if options.stem:
-        return map_words(out, output or column, key, stem)
+        return map_words(out, column, key, stem)
     return out
 
 
@@ -133,6 +139,15 @@ def map_words(df: DataFrame, column: str, key: str, mapper) -> DataFrame:
     return df.join(back, key, "left").select(*kept)
 
 
+def keep_if(value: Column, condition) -> Column:
+    """``value`` as a generator that emits no row when the condition fails.
+
+    A plain filter over a computed column is pushed below the projection and evaluates the
+    whole expression twice.
+    """
+    return F.explode(F.filter(F.array(value), condition))
+
+
 def drop_empty(df: DataFrame, column: str = "text") -> DataFrame:
     """Drop rows whose text is NULL or blank."""
     return df.where(F.nullif(text.collapse_whitespace(column), F.lit("")).isNotNull())
@@ -165,8 +180,6 @@ def clean_pages(df: DataFrame, title: str = "title", body: str = "main_content",
     require_columns(df, title, body)
     plain = df.withColumn(body, html.visible_text(body)).withColumn(title, html.visible_text(title))
     both = plain.where(F.col(body).isNotNull() & F.col(title).isNotNull())
-    joined = F.concat_ws(" ", clean_expression(title, options), clean_expression(body, options))
+    joined = text.concat_fields(clean_expression(title, options), clean_expression(body, options))
     rest = [c for c in df.columns if c not in (title, body)]
-    return (
-        both.select(*rest, F.trim(joined).alias("text")).where(F.char_length("text") >= 2)
-    )
+    return both.select(*rest, keep_if(F.trim(joined), lambda t: F.char_length(t) >= 2).alias("text"))

@@ -59,7 +59,7 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float], groups: Sequence
 
 
 def histogram(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins over the (group's) range; the last bin includes its right edge.
+    """Equal-width bins over the (group's) range, empty ones included; the last bin holds its right edge.
 
     Values are counted first, so the join with the ranges sees distinct values only.
     """
@@ -77,11 +77,12 @@ def histogram(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ())
     wide = counts.join(spans, groups) if groups else counts.crossJoin(F.broadcast(spans))
     width = (F.col("_high") - F.col("_low")) / bins
     place = F.least(F.floor((F.col(value) - F.col("_low")) / width), F.lit(bins - 1))
-    binned = wide.groupBy(*groups, place.cast("bigint").alias("bin")).agg(
-        F.sum("_n").alias("n"), F.max("_low").alias("_low"), F.max("_high").alias("_high")
-    )
+    filled = wide.groupBy(*groups, place.cast("bigint").alias("bin")).agg(F.sum("_n").alias("_n"))
+    every = spans.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     left = F.col("_low") + F.col("bin") * (F.col("_high") - F.col("_low")) / bins
-    return binned.select(*groups, "bin", left.alias("left_edge"), "n")
+    return every.join(filled, [*groups, "bin"], "left").select(
+        *groups, "bin", left.alias("left_edge"), F.coalesce("_n", F.lit(0)).alias("n")
+    )
 
 
 def box_plot(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:

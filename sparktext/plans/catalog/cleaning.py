@@ -96,8 +96,8 @@ def lemmatised_text(spark, sf):
     f"SELECT doc_id, value FROM (SELECT doc_id, {sql_clean('text')} AS value FROM documents) WHERE trim(value) <> ''",
 )
 def drop_empty(spark, sf):
-    cleaned = documents(spark, sf).select("doc_id", cleaning.clean_expression("text").alias("value"))
-    return cleaning.drop_empty(cleaned, "value")
+    df = documents(spark, sf).select("doc_id", F.col("text").alias("value"))
+    return cleaning.clean_text(df, "value", drop_blank=True)
 
 
 @query("p14_drop_null_columns", "SELECT doc_id, source, n_chars FROM documents")

@@ -120,12 +120,14 @@ def null_counts(spark, sf):
 
 
 def _sql_histogram(bins: int, group: str = "") -> str:
-    over = f"PARTITION BY {group}" if group else ""
-    g = f"{group}, " if group else ""
+    g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+    on = f"r.{group} = s.{group}" if group else "true"
+    same = f"b.{group} = e.{group} AND " if group else ""
     return (
-        f"WITH {SQL_SIZED}, s AS (SELECT {g}n_words, CAST(min(n_words) OVER ({over}) AS DOUBLE) AS lo, CAST(max(n_words) OVER ({over}) AS DOUBLE) AS hi FROM sized), "
-        f"b AS (SELECT {g}lo, hi, CAST(least(floor((n_words - lo) / ((hi - lo) / {bins})), {bins - 1}) AS BIGINT) AS bin FROM s) "
-        f"SELECT {g}bin, round(lo + bin * (hi - lo) / {bins}, 6) AS left_edge, count(*) AS n FROM b GROUP BY {g}bin, lo, hi"
+        f"WITH {SQL_SIZED}, r AS (SELECT {g}CAST(min(n_words) AS DOUBLE) AS lo, CAST(max(n_words) AS DOUBLE) AS hi FROM sized {by}), "
+        f"b AS (SELECT {'s.' + g if g else ''}CAST(least(floor((n_words - lo) / ((hi - lo) / {bins})), {bins - 1}) AS BIGINT) AS bin, count(*) AS n FROM sized s JOIN r ON {on} GROUP BY ALL), "
+        f"e AS (SELECT {g}lo, hi, unnest(range(0, {bins})) AS bin FROM r) "
+        f"SELECT {'e.' + g if g else ''}e.bin, round(lo + e.bin * (hi - lo) / {bins}, 6) AS left_edge, coalesce(n, 0) AS n FROM e LEFT JOIN b ON {same}b.bin = e.bin"
     )
 
 

@@ -93,8 +93,7 @@ s AS (SELECT lang, count(*) AS docs FROM kept GROUP BY lang), m AS (SELECT lang,
 SELECT lang, term, round(mean_weight, 6) AS mean_weight, row_number() OVER (PARTITION BY lang ORDER BY round(mean_weight, 6) DESC, term) AS rank FROM m QUALIFY rank <= 5""",
 )
 def top_terms_per_class(spark, sf):
-    cleaned = cleaning.clean_text(documents(spark, sf).select("doc_id", "lang", "text"))
-    df = cleaning.drop_empty(cleaned)
+    df = cleaning.clean_text(documents(spark, sf).select("doc_id", "lang", "text"), drop_blank=True)
     rows = tfidf.fit_tfidf(df, options()).transform(df, keep=["lang"])
     sizes = df.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs"))
     # Classes x vocabulary is bounded, so the ranking below sees few rows.

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -90,8 +91,6 @@ def random_fourier_features(df: DataFrame, column: str, dim: int, n_features: in
 
     ``gamma=None`` means 1/dim.
     """
-    import pandas as pd
-
     rng = np.random.default_rng(seed)
     g = 1.0 / dim if gamma is None else gamma
     weights = rng.normal(0.0, np.sqrt(2 * g), (dim, n_features))
