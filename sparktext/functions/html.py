@@ -9,7 +9,7 @@ from sparktext.functions.text import _col, let
 
 # HTML character references decoded besides the numeric ones and &amp;.
 ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&cent;", "¢"), ("&pound;", "£"), ("&yen;", "¥"), ("&euro;", "€"), ("&copy;", "©"),
     ("&reg;", "®"), ("&sect;", "§"), ("&deg;", "°"), ("&para;", "¶"), ("&middot;", "·"),
     ("&laquo;", "«"), ("&raquo;", "»"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
