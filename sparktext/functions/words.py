@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 # The common English stop-word list.
 ENGLISH_STOP_WORDS = tuple(
     """
@@ -66,9 +68,18 @@ def _ends_cvc(word: str) -> bool:
     )
 
 
+def _longest_first(suffixes, length):
+    return tuple(sorted(suffixes, key=length, reverse=True))
+
+
+_STEP2 = _longest_first(STEP2, lambda p: len(p[0]))
+_STEP3 = _longest_first(STEP3, lambda p: len(p[0]))
+_STEP4 = _longest_first(STEP4, len)
+
+
 def _swap(word: str, table, least: int) -> str:
     """Replace the longest matching suffix if the rest has a measure above ``least``."""
-    for suffix, new in sorted(table, key=lambda p: -len(p[0])):
+    for suffix, new in table:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             return stem + new if _measure(stem) > least else word
@@ -101,9 +112,9 @@ def porter_stem(word: str) -> str:
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _swap(w, STEP2, 0)
-    w = _swap(w, STEP3, 0)
-    for suffix in sorted(STEP4, key=lambda s: -len(s)):
+    w = _swap(w, _STEP2, 0)
+    w = _swap(w, _STEP3, 0)
+    for suffix in _STEP4:
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
@@ -116,3 +127,8 @@ def porter_stem(word: str) -> str:
     if w.endswith("ll") and _measure(w) > 1:
         w = w[:-1]
     return w
+
+
+@lru_cache(maxsize=1_000_000)
+def cached_stem(word: str) -> str:
+    return porter_stem(word)

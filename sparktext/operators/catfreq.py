@@ -78,7 +78,8 @@ def fit_category_model(
 ) -> CategoryModel:
     counts = doc_terms(df, options, column, key, [label])
     tfidf = fitted(counts, df, options)
-    known = lookup(counts, tfidf.vocabulary.select("term"), ["term"], spread_on=key, rows=tfidf.size)
+    terms = tfidf.vocabulary.select("term", "df")
+    known = lookup(counts, terms, ["term"], spread_on=key, table_bytes=tfidf.table_bytes, frequency="df")
     return CategoryModel(tfidf, materialize(category_frequency(known, class_sizes(df, label), label)), label)
 
 

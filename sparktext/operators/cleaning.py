@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.functions import html, text
-from sparktext.functions.words import ENGLISH_STOP_WORDS, porter_stem
+from sparktext.functions.words import ENGLISH_STOP_WORDS, cached_stem
 from sparktext.operators.joins import lookup, require_columns
 from sparktext.operators.ranking import exact_percentiles
 
@@ -78,28 +78,35 @@ def clean_text(
 ) -> DataFrame:
     """Clean one column; ``drop_blank`` also drops NULL and blank results.
 
-    Lemmatising and stemming run once per distinct word, not per row.
+    A user's lemma table is applied once per distinct word and joined back; everything else
+    works within the row.
     """
     require_columns(df, column)
     cleaned = clean_expression(column, options)
     if drop_blank:
         cleaned = keep_if(cleaned, lambda t: F.trim(t) != "")
     out = df.select(*[cleaned.alias(c) if c == column else F.col(c) for c in df.columns])
-    if options.lemma:
+    if options.lemma and lemmas is not None:
         return map_words(out, column, key, lambda ws: lemmatize(ws, lemmas))
+    if options.lemma:
+        return out.withColumn(column, F.array_join(F.transform(text.words(column), suffix_lemma), " "))
     if options.stem:
-        return map_words(out, column, key, stem)
+        return out.withColumn(column, stem_words(column))
     return out
 
 
-def stem(words: DataFrame, word: str = "word") -> DataFrame:
-    """Add ``mapped``: the Porter stem. The input has one row per distinct word."""
+def stem_words(column: Column | str) -> Column:
+    """Porter stems of all words of a text, in Arrow batches.
+
+    Each worker remembers the stems it made, so the algorithm runs about once per distinct word
+    and task, and no word has to be shuffled.
+    """
 
-    def stems(batches):
-        for pdf in batches:
-            yield pd.DataFrame({word: pdf[word], "mapped": [porter_stem(w) for w in pdf[word]]})
+    @F.pandas_udf("string")
+    def stemmed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else " ".join(map(cached_stem, t.split())))
 
-    return words.select(word).mapInPandas(stems, f"{word} string, mapped string")
+    return stemmed(text._col(column))
 
 
 def suffix_lemma(word: Column | str) -> Column:

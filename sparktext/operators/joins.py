@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparktext.session import materialize
 
-# A lookup side is broadcast only after its rows were counted and found below this bound.
-BROADCAST_ROWS = 200_000
+# A lookup side is broadcast only after its size was measured and found below this bound.
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_PARTS = 1_000
 
 
@@ -21,27 +21,43 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def measure(table: DataFrame) -> tuple[int, int]:
+    """(rows, estimated bytes) of a stored table: one aggregate over it."""
+    width = F.lit(16)
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0)) + 16
+        elif kind.startswith(("array", "map")):
+            width = width + F.greatest(F.size(name), F.lit(0)) * (8 if kind.startswith("array") else 24) + 32
+        else:
+            width = width + 16
+    row = table.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
 def lookup(
     facts: DataFrame,
     table: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
     spread_on: str | None = None,
-    rows: int | None = None,
+    table_bytes: int | None = None,
+    frequency: str | None = None,
 ) -> DataFrame:
     """Join ``facts`` with a table that has one row per key.
 
-    The table is broadcast when its row count is known (``rows``) or counted to be at most
-    ``BROADCAST_ROWS``. Beyond that the join shuffles, with the hot keys of ``facts`` spread
-    over several partitions.
+    The table is stored and measured, unless its size is passed in, and broadcast up to
+    ``BROADCAST_BYTES``. Beyond that the join shuffles, with the hot keys spread over several
+    partitions. ``frequency`` names a column of the table that tells how often each key occurs
+    in ``facts``; it saves counting them, and is not part of the result.
     """
     keys = list(keys)
-    if rows is None:
+    if table_bytes is None:
         table = materialize(table)
-        rows = table.limit(BROADCAST_ROWS + 1).count()
-    if rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(table), keys, how)
-    return salted_join(facts, table, keys, how, spread_on)
+        table_bytes = measure(table)[1]
+    if table_bytes <= BROADCAST_BYTES:
+        return facts.join(F.broadcast(table.drop(frequency) if frequency else table), keys, how)
+    return salted_join(facts, table, keys, how, spread_on, frequency)
 
 
 def salted_join(
@@ -50,6 +66,7 @@ def salted_join(
     keys: Sequence[str],
     how: str = "inner",
     spread_on: str | None = None,
+    frequency: str | None = None,
     hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """Equi-join in which a key with many rows is split into parts of about n/hot_parts rows.
@@ -58,7 +75,11 @@ def salted_join(
     keys is small by construction and is the only thing broadcast.
     """
     keys = list(keys)
-    sizes = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if frequency:
+        sizes = table.select(*keys, F.col(frequency).alias("_n"))
+        table = table.drop(frequency)
+    else:
+        sizes = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
     hot = (
         sizes.crossJoin(F.broadcast(total))

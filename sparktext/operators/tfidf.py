@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktext.functions import text
-from sparktext.operators.joins import lookup, require_columns
+from sparktext.operators.joins import lookup, measure, require_columns
 from sparktext.operators.ranking import ONE_TASK_ROWS, ranked, ranked_table
 from sparktext.session import materialize
 
@@ -93,18 +93,18 @@ def build_vocabulary(counts: DataFrame, n_docs: DataFrame, options: TermOptions)
 
 @dataclass
 class TfidfModel:
-    """A fitted vocabulary. ``size`` is its row count, which decides on broadcasting."""
+    """A fitted, stored vocabulary with its number of rows and bytes; the bytes decide on broadcasting."""
 
     vocabulary: DataFrame
     options: TermOptions
     size: int
+    table_bytes: int
 
     def weights(self, df: DataFrame, column: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
         """Unnormalised weights (key, keep..., term, term_id, weight); unknown terms dropped."""
         counts = doc_terms(df, self.options, column, key, keep)
-        found = lookup(
-            counts, self.vocabulary.select("term", "term_id", "idf"), ["term"], spread_on=key, rows=self.size
-        )
+        terms = self.vocabulary.select("term", "term_id", "idf", "df")
+        found = lookup(counts, terms, ["term"], spread_on=key, table_bytes=self.table_bytes, frequency="df")
         return found.select(key, *keep, "term", "term_id", (F.col("tf") * F.col("idf")).alias("weight"))
 
     def transform(self, df: DataFrame, column: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +130,7 @@ class TfidfModel:
     def load(cls, spark: SparkSession, path: str) -> TfidfModel:
         params = json.loads(spark.read.text(os.path.join(path, "options")).first()["value"])
         table = spark.read.parquet(os.path.join(path, "vocabulary"))
-        return cls(table, TermOptions.from_config(params), table.count())
+        return cls(table, TermOptions.from_config(params), *measure(table))
 
 
 def unit_rows(weights: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -165,7 +165,7 @@ def fit_tfidf(df: DataFrame, options: TermOptions = TermOptions(), column: str =
 def fitted(counts: DataFrame, df: DataFrame, options: TermOptions) -> TfidfModel:
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
     table = materialize(build_vocabulary(counts, n_docs, options))
-    return TfidfModel(table, options, table.count())
+    return TfidfModel(table, options, *measure(table))
 
 
 def vector_struct(size: int, column: str = "terms") -> Column:
@@ -222,7 +222,7 @@ def padded_sequences(
         "token", (F.col("row_number") + 1).cast("int").alias("token_id")
     )
     places = split.select(key, F.posexplode(F.slice("_tokens", 1, length)).alias("pos", "token"))
-    known = lookup(places, ids, ["token"], "left", spread_on=key, rows=max_tokens)
+    known = lookup(places, ids, ["token"], "left", spread_on=key)
     seq = known.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))).alias("_s")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,16 +34,22 @@ def get_session(app_name: str = "sparktext", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+_FALLBACK: dict[str, str] = {}
+_STORED: weakref.WeakSet = weakref.WeakSet()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only when the setting is absent (tests, local mode) a temporary folder stands in for it.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="sparktext-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparktext-")
+    return _FALLBACK[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,11 +58,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
+    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation.
+
+    A table stored before is returned as it is.
+    """
+    if df in _STORED:
+        return df
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    _STORED.add(stored)
+    return stored
 
 
 def parallelism(spark: SparkSession) -> int:

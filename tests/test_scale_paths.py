@@ -26,7 +26,7 @@ def skewed(spark):
 def large(monkeypatch):
     """Treat every table as too large for one task and for broadcasting."""
     monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 1)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1)
 
 
 def by_group(rows):
