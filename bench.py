@@ -64,13 +64,13 @@ def main():
     options = tfidf.TermOptions(max_features=10_000)
     timed("clean_text", lambda: run(cleaning.clean_text(documents(spark, SF).select("doc_id", "text"))), n)
     model = timed("tfidf_fit", lambda: tfidf.fit_tfidf(df, options), n)
-    timed("tfidf_encode", lambda: run(model.encode(df)), n)
-    timed("tfidf_fit_transform", lambda: run(tfidf.fit_tfidf(df, options).encode(df)), n)
+    timed("tfidf_encode", lambda: run(model.encode(df, keep=["label"])), n)
+    timed("tfidf_fit_transform", lambda: run(tfidf.fit_tfidf(df, options).encode(df, keep=["label"])), n)
     category = timed("tfidf_cf_fit", lambda: catfreq.fit_category_model(df, options), n)
     timed("tfidf_cf_encode", lambda: run(category.encode_with_labels(df)), n)
     timed("tfidf_cf_max_encode", lambda: run(catfreq.weight_max(category.tfidf.transform(df), category.cf)), n)
     wide = tfidf.TermOptions(ngram_range=(1, 3), max_features=10_000)
-    timed("tfidf_1_3_grams_fit_transform", lambda: run(tfidf.fit_tfidf(df, wide).encode(df)), n)
+    timed("tfidf_1_3_grams_fit_transform", lambda: run(tfidf.fit_tfidf(df, wide).encode(df, keep=["label"])), n)
     vectors = materialize(word_vectors(spark, SF))
     lowered = df.select("doc_id", F.lower("text").alias("text"))
     timed("word_vector_encode", lambda: run(wordvec.document_vectors(lowered, vectors, 64)), n)

@@ -11,6 +11,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktext.operators.joins import lookup
@@ -159,10 +160,10 @@ def explain_terms(
 
 
 def top_terms(scored: DataFrame, k: int, key: str = "doc_id", score: str = "final_score") -> DataFrame:
-    """The k best terms of each document; ties go to the term that sorts first."""
-    best = scored.groupBy(key).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "term"))), 1, k).alias("_best")
-    )
-    return best.select(key, F.posexplode("_best").alias("pos", "t")).select(
-        key, (F.col("pos") + 1).alias("rank"), F.col("t.term").alias("term"), (-F.col("t.s")).alias(score)
-    )
+    """The k best terms of each document; ties go to the term that sorts first.
+
+    For k up to 1000 Spark limits every group on the map side, so a large group is never
+    gathered whole.
+    """
+    order = W.partitionBy(key).orderBy(F.desc(score), "term")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "term", score)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,8 @@ def salted_join(
     """Equi-join in which a key with many rows is split into parts of about n/hot_parts rows.
 
     At most ``hot_parts`` keys can hold more than n/hot_parts rows each, so the list of hot
-    keys is small by construction and is the only thing broadcast.
+    keys is small by construction and is the only thing broadcast. Rows with a NULL key match
+    nothing and are spread as well.
     """
     keys = list(keys)
     if frequency:
@@ -87,9 +89,11 @@ def salted_join(
         .select(*keys, F.ceil(F.col("_n") * hot_parts / F.col("_total")).cast("int").alias("_parts"))
     )
     spread = F.xxhash64(spread_on) if spread_on else F.xxhash64(*[c for c in facts.columns if c not in keys] or keys)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    parts = F.when(no_key, F.lit(hot_parts)).otherwise(F.coalesce("_parts", F.lit(1)))
     left = (
         facts.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.pmod(spread, F.coalesce("_parts", F.lit(1)).cast("bigint")))
+        .withColumn("_salt", F.pmod(spread, parts.cast("bigint")))
         .drop("_parts")
     )
     right = (

@@ -111,12 +111,19 @@ class TfidfModel:
         """Unit rows in long form (key, keep..., term, term_id, weight)."""
         return normalize_rows(self.weights(df, column, key, keep), key, keep)
 
-    def encode(self, df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
-        """Every input row with ``terms``: its unit row as array of (term_id, weight); no known term -> empty."""
-        rows = unit_rows(self.weights(df, column, key), key)
-        return df.join(rows, key, "left").withColumn(
-            "terms", F.coalesce("terms", F.array().cast("array<struct<term_id:int,weight:double>>"))
+    def encode(self, df: DataFrame, column: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+        """(key, keep..., terms): the unit row of every document as array of (term_id, weight).
+
+        Documents without a known term keep an empty array. They travel through the lookup as
+        outer rows, so the documents are not joined back and the weights move once.
+        """
+        require_columns(df, column, key, *keep)
+        counted = df.select(key, *keep, F.explode_outer(text.term_counts(term_column(column, self.options))).alias("_t"))
+        terms = self.vocabulary.select("term", "term_id", "idf", "df")
+        found = lookup(
+            counted.select(key, *keep, "_t.term", "_t.tf"), terms, ["term"], "left", spread_on=key, table_bytes=self.table_bytes, frequency="df"
         )
+        return unit_rows(found.select(key, *keep, "term_id", (F.col("tf") * F.col("idf")).alias("weight")), key, keep)
 
     def save(self, path: str) -> None:
         self.vocabulary.write.mode("overwrite").parquet(os.path.join(path, "vocabulary"))
@@ -134,8 +141,12 @@ class TfidfModel:
 
 
 def unit_rows(weights: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document with ``terms``: sorted array of (term_id, unit weight). One shuffle."""
-    gathered = weights.groupBy(key, *keep).agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("terms"))
+    """One row per document with ``terms``: sorted array of (term_id, unit weight). One shuffle.
+
+    A NULL term id only keeps its document in the result.
+    """
+    known = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "weight"))
+    gathered = weights.groupBy(key, *keep).agg(F.array_sort(F.collect_list(known)).alias("terms"))
     size = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
     sized = gathered.withColumn("_norm", size)
     scaled = F.transform(

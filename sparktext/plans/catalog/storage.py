@@ -105,7 +105,7 @@ def sparse_vector_round_trip(spark, sf):
     path = scratch_path(spark, "sparse")
     df = corpus(spark, sf)
     fit = tfidf.fit_tfidf(df, options())
-    vectors.write_vectors(fit.encode(df).select("doc_id", "label", "terms"), fit.size, path)
+    vectors.write_vectors(fit.encode(df, keep=["label"]), fit.size, path)
     dense = vectors.read_vectors(spark, path).select("doc_id", "label", F.posexplode(vector_to_array("features")).alias("term_id", "weight"))
     return dense.where("weight <> 0").withColumn("weight", F.round("weight", 6))
 

@@ -124,7 +124,7 @@ def test_word_and_paragraph_vectors(corpus):
 @pytest.fixture(scope="module")
 def annotator(corpus):
     model = catfreq.fit_category_model(corpus, tfidf.TermOptions())
-    vecs = materialize(as_vectors(model.tfidf.encode(corpus).select("doc_id", "label", "terms"), model.tfidf.size))
+    vecs = materialize(as_vectors(model.tfidf.encode(corpus, keep=["label"]), model.tfidf.size))
     return Annotator(model, classify.make_classifier("LogisticRegression", vecs.count()).fit(vecs))
 
 

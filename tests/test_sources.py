@@ -97,7 +97,7 @@ def test_split_path():
 
 def test_sparse_vectors(spark, tiny, path):
     model = tfidf.fit_tfidf(tiny)
-    encoded = model.encode(tiny).select("doc_id", "label", "terms")
+    encoded = model.encode(tiny, keep=["label"])
     p = path()
     vectors.write_vectors(encoded, model.size, p)
     stored = {r["doc_id"]: r["features"] for r in vectors.read_vectors(spark, p).collect()}
