@@ -34,6 +34,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def keep_if(value: Column, condition: Callable[[Column], Column]) -> Column:
+    """``value`` as a generator that emits no row when the condition fails.
+
+    A plain filter over a computed column is pushed below the projection and evaluates the
+    whole expression twice.
+    """
+    return F.explode(F.filter(F.array(value), condition))
+
+
+def each(array: Column, position: bool = False) -> Column:
+    """Explode a computed array.
+
+    A plain ``explode(f(text))`` makes the optimizer add a filter on ``size(f(text)) > 0``, so f
+    runs several times per row; bound by ``let`` it runs once.
+    """
+    bound = let(array, lambda a: a)
+    return F.posexplode(bound) if position else F.explode(bound)
+
+
 def lower(c: Column | str) -> Column:
     return F.lower(_col(c))
 
@@ -89,8 +108,11 @@ def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     def of_size(toks: Column, n: int) -> Column:
         if n == 1:
             return toks
-        starts = F.sequence(F.lit(1), F.size(toks) - F.lit(n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))
+
+        def gram(i: Column) -> Column:
+            return F.concat(F.get(toks, i), *[x for k in range(1, n) for x in (F.lit(" "), F.get(toks, i + k))])
+
+        grams = F.transform(F.sequence(F.lit(0), F.size(toks) - F.lit(n)), gram)
         return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
 
     return let(tokens, lambda toks: F.concat(*[of_size(toks, n) for n in range(low, high + 1)]))

@@ -84,7 +84,7 @@ def clean_text(
     require_columns(df, column)
     cleaned = clean_expression(column, options)
     if drop_blank:
-        cleaned = keep_if(cleaned, lambda t: F.trim(t) != "")
+        cleaned = text.keep_if(cleaned, lambda t: F.trim(t) != "")
     out = df.select(*[cleaned.alias(c) if c == column else F.col(c) for c in df.columns])
     if options.lemma and lemmas is not None:
         return map_words(out, column, key, lambda ws: lemmatize(ws, lemmas))
@@ -136,7 +136,7 @@ def map_words(df: DataFrame, column: str, key: str, mapper) -> DataFrame:
     ``mapper`` sees each distinct word once. Words are joined back by value and put together
     per row; repeated words of one row travel as a single record with their positions.
     """
-    places = df.select(key, F.posexplode(text.words(column)).alias("pos", "word"))
+    places = df.select(key, text.each(text.words(column), position=True).alias("pos", "word"))
     per_doc = places.groupBy(key, "word").agg(F.collect_list("pos").alias("at"))
     mapped = mapper(per_doc.select("word").distinct())
     joined = lookup(per_doc, mapped, ["word"], "left", spread_on=key)
@@ -146,15 +146,6 @@ def map_words(df: DataFrame, column: str, key: str, mapper) -> DataFrame:
     return df.join(back, key, "left").select(*kept)
 
 
-def keep_if(value: Column, condition) -> Column:
-    """``value`` as a generator that emits no row when the condition fails.
-
-    A plain filter over a computed column is pushed below the projection and evaluates the
-    whole expression twice.
-    """
-    return F.explode(F.filter(F.array(value), condition))
-
-
 def drop_empty(df: DataFrame, column: str = "text") -> DataFrame:
     """Drop rows whose text is NULL or blank."""
     return df.where(F.nullif(text.collapse_whitespace(column), F.lit("")).isNotNull())
@@ -189,4 +180,4 @@ def clean_pages(df: DataFrame, title: str = "title", body: str = "main_content",
     both = plain.where(F.col(body).isNotNull() & F.col(title).isNotNull())
     joined = text.concat_fields(clean_expression(title, options), clean_expression(body, options))
     rest = [c for c in df.columns if c not in (title, body)]
-    return both.select(*rest, keep_if(F.trim(joined), lambda t: F.char_length(t) >= 2).alias("text"))
+    return both.select(*rest, text.keep_if(F.trim(joined), lambda t: F.char_length(t) >= 2).alias("text"))

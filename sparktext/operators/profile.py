@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktext.operators.ranking import exact_percentiles
+from sparktext.operators.ranking import exact_percentiles, percentiles_of_counts, value_counts
 
 
 def label_counts(df: DataFrame, label: str = "label", by_label: bool = False) -> DataFrame:
@@ -37,20 +37,34 @@ def smallest_class(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("smallest"))
 
 
+_QUARTILES = ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
+
+
+def _quartiles(counts: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    found = percentiles_of_counts(counts, value, [p for p, _ in _QUARTILES], groups)
+    picked = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in _QUARTILES]
+    return found.groupBy(*groups).agg(*picked)
+
+
+def _moments(counts: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """count, mean, sample std, min and max from value counts; deviations are taken from the mean."""
+    v, n = F.col(value), F.col("_n")
+    means = counts.groupBy(*groups).agg(
+        F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    both = counts.join(means, groups) if groups else counts.crossJoin(F.broadcast(means))
+    off = v - F.col("mean")
+    total = F.first("n")
+    std = F.when(total > 1, F.sqrt(F.sum(n * off * off) / (total - 1)))
+    picked = [F.first(c).alias(c) for c in ("n", "mean", "min", "max")]
+    return both.groupBy(*groups).agg(*picked, std.alias("std"))
+
+
 def describe(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max; per group if asked."""
+    """count, mean, sample std, min, exact quartiles, max; per group if asked. One pass over the input."""
     groups = list(groups)
-    stats = df.groupBy(*groups).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"),
-    )
-    quartiles = exact_percentiles(df, value, (0.25, 0.5, 0.75), groups)
-    wide = quartiles.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    )
+    counts = value_counts(df, value, groups)
+    stats, wide = _moments(counts, value, groups), _quartiles(counts, value, groups)
     return stats.join(wide, groups) if groups else stats.crossJoin(F.broadcast(wide))
 
 
@@ -64,7 +78,7 @@ def histogram(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ())
     Values are counted first, so the join with the ranges sees distinct values only.
     """
     groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = value_counts(df, value, groups)
     spans = counts.groupBy(*groups).agg(
         F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high")
     )
@@ -88,19 +102,16 @@ def histogram(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ())
 def box_plot(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 IQR, and the number of outliers."""
     groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    qs = exact_percentiles(df, value, (0.25, 0.5, 0.75), groups)
-    wide = qs.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    )
+    counts = value_counts(df, value, groups)
+    wide = _quartiles(counts, value, groups)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return (
         counts.join(wide, groups)
         .groupBy(*groups, "q25", "q50", "q75")
         .agg(
-            F.min(F.when(inside, F.col(value))).cast("double").alias("whisker_low"),
-            F.max(F.when(inside, F.col(value))).cast("double").alias("whisker_high"),
+            F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+            F.max(F.when(inside, F.col(value))).alias("whisker_high"),
             F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
         )
     )
@@ -111,19 +122,14 @@ def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
 
     The sum runs over distinct values with their counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    stats = df.agg(
-        F.count(value).alias("_all"),
-        F.stddev_samp(value).alias("_std"),
-        F.min(value).cast("double").alias("_low"),
-        F.max(value).cast("double").alias("_high"),
+    counts = value_counts(df, value)
+    stats = _moments(counts, value, []).select(
+        F.col("n").alias("_all"), F.col("std").alias("_std"), F.col("min").alias("_low"), F.col("max").alias("_high")
     )
     width = F.col("_std") * F.pow(F.col("_all").cast("double"), F.lit(-0.2))
     at: Column = F.col("_low") + F.col("point") * (F.col("_high") - F.col("_low")) / (points - 1)
     grid = counts.crossJoin(F.broadcast(stats)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    z = (at - F.col("_v")) / width
+    z = (at - F.col(value)) / width
     weight = F.col("_n") * F.exp(-0.5 * z * z) / (F.col("_all") * width * F.sqrt(F.lit(2.0) * F.pi()))
     return grid.groupBy(F.col("point").cast("bigint").alias("point"), at.alias("x")).agg(F.sum(weight).alias("density"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparktext.functions.text import keep_if
 from sparktext.operators.joins import lookup
 from sparktext.session import materialize, parallelism
 
@@ -115,6 +116,13 @@ def ranked_table(df: DataFrame, order: str, groups: Sequence[str] = (), **kw) ->
     return ranked(stored, order, groups, one_task=small, **kw)
 
 
+def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Stored table (groups..., value, _n) of the distinct non-NULL values: one pass over the input."""
+    kept = df.select(*groups, keep_if(F.col(value), lambda v: v.isNotNull()).alias(value))
+    counted = kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(counted.withColumn(value, F.col(value).cast("double")))
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
@@ -123,13 +131,13 @@ def exact_percentiles(
     Equal values are counted first, so the ranked table has one row per distinct value; then at
     most two rows per percentile are kept and interpolated.
     """
+    return percentiles_of_counts(value_counts(df, value, groups), value, probabilities, groups)
+
+
+def percentiles_of_counts(
+    counts: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
+) -> DataFrame:
     groups = list(groups)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(value, F.col(value).cast("double"))
-    )
     cum = ranked_table(counts, value, groups, number=None, running={"_upto": "_n"}, totals={"_all": "_n"})
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
 
@@ -139,9 +147,7 @@ def exact_percentiles(
     def touched(p: Column) -> Column:
         return (F.floor(place(p)).between(first, last)) | (F.ceil(place(p)).between(first, last))
 
-    hits = cum.withColumn(
-        "p", F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probabilities]), touched))
-    )
+    hits = cum.withColumn("p", F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probabilities]), touched)))
     at = place(F.col("p"))
     low = F.max(F.when(F.floor(at).between(first, last), F.col(value)))
     high = F.max(F.when(F.ceil(at).between(first, last), F.col(value)))

@@ -114,16 +114,20 @@ class TfidfModel:
     def encode(self, df: DataFrame, column: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
         """(key, keep..., terms): the unit row of every document as array of (term_id, weight).
 
-        Documents without a known term keep an empty array. They travel through the lookup as
-        outer rows, so the documents are not joined back and the weights move once.
+        Documents without a known term keep an empty array. Every document sends one marker row
+        without a term through the lookup, so it need not be joined back, and the weights move once.
         """
         require_columns(df, column, key, *keep)
-        counted = df.select(key, *keep, F.explode_outer(text.term_counts(term_column(column, self.options))).alias("_t"))
+        kind = "array<struct<term:string,tf:bigint>>"
+        counts = F.coalesce(text.term_counts(term_column(column, self.options)), F.array().cast(kind))
+        marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf")))
+        counted = df.select(key, *keep, F.explode(F.concat(counts, marker)).alias("_t"))
         terms = self.vocabulary.select("term", "term_id", "idf", "df")
         found = lookup(
             counted.select(key, *keep, "_t.term", "_t.tf"), terms, ["term"], "left", spread_on=key, table_bytes=self.table_bytes, frequency="df"
         )
-        return unit_rows(found.select(key, *keep, "term_id", (F.col("tf") * F.col("idf")).alias("weight")), key, keep)
+        kept = found.where(F.col("term_id").isNotNull() | F.col("term").isNull())
+        return unit_rows(kept.select(key, *keep, "term_id", (F.col("tf") * F.col("idf")).alias("weight")), key, keep)
 
     def save(self, path: str) -> None:
         self.vocabulary.write.mode("overwrite").parquet(os.path.join(path, "vocabulary"))
@@ -220,9 +224,8 @@ def padded_sequences(
     tokens = text.words(plain)
     if characters:
         tokens = F.filter(F.split(F.regexp_replace(plain, text.SPACES, ""), ""), lambda x: x != "")
-    split = df.select(key, tokens.alias("_tokens"))
     vocabulary = (
-        split.select(F.explode("_tokens").alias("token"))
+        df.select(text.each(tokens).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "token")
@@ -232,7 +235,7 @@ def padded_sequences(
     ids = ranked_table(vocabulary.withColumn("_order", minus), "_order").select(
         "token", (F.col("row_number") + 1).cast("int").alias("token_id")
     )
-    places = split.select(key, F.posexplode(F.slice("_tokens", 1, length)).alias("pos", "token"))
+    places = df.select(key, text.each(F.slice(tokens, 1, length), position=True).alias("pos", "token"))
     known = lookup(places, ids, ["token"], "left", spread_on=key)
     seq = known.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))).alias("_s")

@@ -124,7 +124,7 @@ wv AS (SELECT word, embedding::DOUBLE[] AS v FROM (SELECT word, row_number() OVE
 
 def word_vectors(spark, sf) -> DataFrame:
     vecs = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_number"), F.col("embedding").cast("array<double>").alias("vector"))
-    counts = documents(spark, sf).select(F.explode(text.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = documents(spark, sf).select(text.each(text.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     best = counts.orderBy(F.desc("n"), "word").limit(vecs.count())
     ranks = ranked_table(best.withColumn("_o", F.struct((-F.col("n")).alias("n"), "word")), "_o")
     return ranks.select("word", (F.col("row_number") - 1).alias("row_number")).join(vecs, "row_number").select("word", "vector")
@@ -164,7 +164,7 @@ ug AS ({_GRAMS.format(v='', t='unknown')}) SELECT word, dim, round(avg(y), 6) AS
 )
 def unknown_word_vectors(spark, sf):
     known = materialize(word_vectors(spark, sf))
-    words = read_table(spark, sf, "benchmark").select(F.explode(text.words(F.lower("text"))).alias("word")).distinct()
+    words = read_table(spark, sf, "benchmark").select(text.each(text.words(F.lower("text"))).alias("word")).distinct()
     unknown = words.join(known, "word", "left_anti")
     out = wordvec.unknown_word_vectors(unknown, wordvec.gram_vectors(known, DIM), DIM)
     return entries(out, "word", F.col("vector"))
