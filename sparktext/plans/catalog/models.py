@@ -78,7 +78,7 @@ def naive_bayes(spark, sf):
 def naive_bayes_on_vectors(spark, sf):
     df = corpus(spark, sf)
     model = tfidf.fit_tfidf(df, options(max_features=500))
-    vecs = as_vectors(model.encode(df, keep=["label"]), model.size)
+    vecs = materialize(as_vectors(model.encode(df, keep=["label"]), model.size))
     return classify.predict(classify.make_classifier("NaiveBayes", 0).fit(vecs), vecs, "doc_id", ["label"])
 
 
@@ -116,7 +116,7 @@ def predictions_with_probabilities(spark, sf):
 def annotated_documents(spark, sf):
     df = corpus(spark, sf)
     m = category_model(spark, sf)
-    vecs = as_vectors(m.tfidf.encode(df, keep=["label"]), m.tfidf.size)
+    vecs = materialize(as_vectors(m.tfidf.encode(df, keep=["label"]), m.tfidf.size))
     lr = classify.make_classifier("LogisticRegression", vecs.count(), {"max_iter": 10}).fit(vecs)
     return annotate.Annotator(m, lr).annotate(df.select("doc_id", "text")).drop("text")
 
@@ -126,13 +126,18 @@ def text_and_position_features(spark, sf):
     turns = read_table(spark, sf, "conversations", "conv_id")
     placed = with_positions(turns, "conv_id", "turn").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
     placed = placed.withColumn("label", (F.col("role") == "assistant").cast("int"))
-    chars = text.spaced_characters(F.lower("text"))
-    encode = F.transform(F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"]), lambda c: F.size(F.filter(F.split(chars, " "), lambda x: x == c)).cast("double"))
+    letters = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
+
+    def letter_counts(cs):
+        return F.transform(letters, lambda c: F.size(F.filter(cs, lambda x: x == c)).cast("double"))
+
+    encode = text.let(F.split(text.spaced_characters(F.lower("text")), " "), letter_counts)
     words = tfidf.fit_tfidf(placed, tfidf.TermOptions(max_features=300))
     counted = placed.withColumn("chars", arrays.l2_normalize(encode))
     base = words.encode(counted, keep=["label", "line_number", "total_lines", "chars"])
     vecs = as_vectors(base, words.size, output="words")
-    fused = classify.fuse_features(vecs.withColumn("chars", array_to_vector("chars")), ["words", "chars"], {"line_number": 15, "total_lines": 20})
+    both = vecs.withColumn("chars", array_to_vector("chars"))
+    fused = materialize(classify.fuse_features(both, ["words", "chars"], {"line_number": 15, "total_lines": 20}))
     model = classify.make_classifier("LogisticRegression", fused.count(), {"max_iter": 10}).fit(fused)
     return classify.predict(model, fused, "doc_id", ["label"])
 
