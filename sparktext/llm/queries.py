@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktext.llm import bpe, exact_dedup, length_buckets, line_dedup, token_counts
+from sparktext.llm import bpe, exact_dedup, length_buckets, line_dedup, token_counts, winnowing
 from sparktext.llm.common import identified, table
 
 QUERIES = {}
@@ -42,6 +42,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op2_winnowing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, sf_dir, "documents"), gram=3, window=4)
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
