@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktext.llm import bpe, exact_dedup, length_buckets, line_dedup, token_counts, winnowing
+from sparktext.llm import bpe, exact_dedup, lattice_lm, length_buckets, line_dedup, token_counts, winnowing
 from sparktext.llm.common import identified, table
 
 QUERIES = {}
@@ -54,6 +54,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(docs, str(path), public_tokenizers.PATTERN))
 
 
+@query("op4_lattice_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
