@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktext.llm import bpe, exact_dedup, lattice_lm, length_buckets, line_dedup, token_counts, winnowing
+from sparktext.llm import bpe, exact_dedup, lattice_lm, length_buckets, line_dedup, mil_quality, token_counts, winnowing
 from sparktext.llm.common import identified, table
 
 QUERIES = {}
@@ -59,6 +59,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+# Below this score a document is predicted to be of low quality.
+QUALITY_AT_LEAST = 0.3
+
+
+@query("op5_mil_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= QUALITY_AT_LEAST).cast("int").alias("predicted")
+    return scored.select("doc_id", mil_quality.held_out("doc_id").alias("held_out"), "score", predicted, "most_weighted", "most_weight")
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
