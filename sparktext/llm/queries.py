@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktext.llm import bpe, exact_dedup, lattice_lm, length_buckets, line_dedup, mil_quality, token_counts, winnowing
+from sparktext.llm import bpe, exact_dedup, lattice_lm, length_buckets, line_dedup, mil_quality, suffix_dedup, token_counts, winnowing
 from sparktext.llm.common import identified, table
 
 QUERIES = {}
@@ -91,3 +91,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest").drop("text_hash")
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=400)
+    spans = F.size("spans").cast("bigint").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
