@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktext.llm import bpe, exact_dedup, lattice_lm, length_buckets, line_dedup, mil_quality, suffix_dedup, token_counts, winnowing
+from sparktext.llm import bpe, exact_dedup, jaccard_join, lattice_lm, length_buckets, line_dedup, mil_quality, suffix_dedup, token_counts, winnowing
 from sparktext.llm.common import identified, table
 
 QUERIES = {}
@@ -93,6 +93,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest").drop("text_hash")
 
 
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"), percent=80, words=5).drop("text_hash")
+
+
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=400)

@@ -57,3 +57,21 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def lowered(text: str) -> np.ndarray:
     """UTF-8 bytes with A-Z lower-cased."""
     return LOWER[np.frombuffer(text.encode(), np.uint8)]
+
+
+_STEPS = [np.uint64(x) for x in (0x8F3A1C5B7D9E2F41, 0x1B873593CC9E2D51, 0xE6546B64A3B1C2D7, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5)]
+
+
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``words`` words, A-Z lower-cased; of a shorter text the
+    hash of all its words, of a text without words none."""
+    raw = lowered(text)
+    h = word_hashes(raw, *word_bounds(raw))
+    if not len(h):
+        return h
+    size = min(words, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for j in range(size):
+        out = mixed(out) + h[j : j + n] * _STEPS[j % len(_STEPS)]
+    return np.unique(mixed(out))
