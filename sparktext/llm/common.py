@@ -8,14 +8,12 @@ same result, rows with the same id and another text are other documents.
 from __future__ import annotations
 
 import atexit
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktext.session import parallelism, scratch_path
 
-__all__ = ["identified", "parallelism", "same_document", "stored", "table", "take_rows", "with_columns_of"]
+__all__ = ["identified", "keep_documents", "parallelism", "same_document", "stored", "table", "with_decisions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +52,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
-def take_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text_hash) is in ``decided``, with the columns of ``docs`` alone."""
-    own = F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")))
-    return docs.alias("d").join(
-        decided.alias("k"),
-        F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id")) & (own == F.col("k.text_hash")),
-        "left_semi",
-    )
+def with_decisions(docs: DataFrame, decided: DataFrame, how: str = "left", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` as alias d joined with ``decided`` (doc_id, text_hash, ...) as alias k, so that columns of
+    the same name stay apart."""
+    text_hash = F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")))
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id")) & (text_hash == F.col("k.text_hash"))
+    return docs.alias("d").join(decided.alias("k"), same, how)
 
 
-def with_columns_of(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+def keep_documents(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` named in ``kept`` (doc_id, text_hash); of rows that repeat an id and a text, one."""
+    counted = kept.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    joined = with_decisions(docs, counted.hint("shuffle_hash"), "inner", id_col, text_col).withColumn("_times", F.col("k.n"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    once = joined.where("_times = 1").select(*columns)
+    return once.unionByName(joined.where("_times > 1").select(*columns).dropDuplicates([id_col, text_col]))

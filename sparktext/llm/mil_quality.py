@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,6 +203,17 @@ def _scores(model: Model):
     return run
 
 
+def score_column(model: Model, text: Column) -> Column:
+    """Score of a text as a column, for filters that keep all other columns as they are."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text_hash", "text"])
+        return pd.Series([x for out in _scores(model)([batch]) for x in out.column("score").to_pylist()], dtype="float64")
+
+    return scored(F.coalesce(text, F.lit("")))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, score, most_weighted (passage with the largest attention), most_weight.
 

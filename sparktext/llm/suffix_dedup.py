@@ -16,8 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.llm.common import identified, same_document, stored
@@ -294,6 +295,16 @@ def _built(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_construct(length), WINDOWS)
 
 
+def kept_bytes(raw: bytes, windows: list[dict], length: int) -> tuple[np.ndarray, bytes]:
+    """(flags of the bytes that go, the other bytes)."""
+    edge = np.zeros(len(raw) + 1, np.int32)
+    first = np.array([w["first"] for w in windows], np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + np.array([w["width"] for w in windows], np.int64) - 1 + length, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    return gone, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,14 +314,10 @@ def _cut(length: int):
                 if windows is None:
                     out.append((len(raw), 0, [], raw))
                     continue
-                edge = np.zeros(len(raw) + 1, np.int32)
-                first = np.array([w["first"] for w in windows])
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + np.array([w["width"] for w in windows]) - 1 + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone, kept = kept_bytes(raw, windows, length)
                 _, start, size = _runs(gone[None, :])
                 spans = [{"start": int(a), "end": int(a + b)} for a, b in zip(start, size, strict=True)]
-                out.append((len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                out.append((len(raw), int(gone.sum()), spans, kept))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             n, removed, spans, kept = (pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), span, pa.binary())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n, removed, spans, kept], ["doc_id", "text_hash", "n_bytes", "n_removed", "spans", "kept"])
@@ -318,6 +325,22 @@ def _cut(length: int):
     return run
 
 
+def windows_by_document(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, text_hash, windows array<struct<first, width>>) of the documents with repeated strings."""
+    windows = repeated_strings(docs, length, id_col, text_col, **options)
+    return windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "width")).alias("windows"))
+
+
+def cut_column(text: Column, windows: Column, length: int) -> Column:
+    """The text without its repeated strings; a character cut apart goes with them."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or w is None else kept_bytes(t.encode(), list(w), length)[1].decode(errors="ignore") for t, w in zip(texts, found, strict=True)], dtype=object)
+
+    return cut(text, windows)
+
+
 def remove_repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, text_hash, n_bytes, n_removed, spans array<struct<start, end>>, kept binary per row of ``docs``.
 
@@ -325,8 +348,7 @@ def remove_repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     runs in bytes, ``kept`` is what is left of the UTF-8 text, which may end inside a character.
     """
     own = identified(docs, id_col, text_col)
-    windows = repeated_strings(docs, length, id_col, text_col, **options)
-    listed = windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "width")).alias("windows"))
+    listed = windows_by_document(docs, length, id_col, text_col, **options)
     joined = own.alias("d").join(listed.hint("shuffle_hash").alias("w"), same_document("d", "w"), "left")
     wanted = joined.select("d.doc_id", "d.text_hash", "d.text", "w.windows")
     return wanted.mapInArrow(_cut(length), "doc_id bigint, text_hash bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary")
