@@ -104,6 +104,13 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def group_join(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns with NULL as a group like any other; they come once, from the left."""
+    on = reduce(lambda a, b: a & b, [F.col(f"_l.`{g}`").eqNullSafe(F.col(f"_r.`{g}`")) for g in groups])
+    rest = [F.col(f"_r.`{c}`") for c in right.columns if c not in groups]
+    return left.alias("_l").join(right.alias("_r"), on, how).select("_l.*", *rest)
+
+
 def common_column_join(left: DataFrame, right: DataFrame, null_safe: bool = True) -> DataFrame:
     """Inner equi-join on every column both sides share; NULL keys match unless told otherwise."""
     common = [c for c in left.columns if c in right.columns]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktext.operators.joins import group_join
 from sparktext.operators.ranking import exact_percentiles, percentiles_of_counts, value_counts
 
 
@@ -52,7 +53,7 @@ def _moments(counts: DataFrame, value: str, groups: list[str]) -> DataFrame:
     means = counts.groupBy(*groups).agg(
         F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    both = counts.join(means, groups) if groups else counts.crossJoin(F.broadcast(means))
+    both = group_join(counts, means, groups) if groups else counts.crossJoin(F.broadcast(means))
     off = v - F.col("mean")
     total = F.first("n")
     std = F.when(total > 1, F.sqrt(F.sum(n * off * off) / (total - 1)))
@@ -65,7 +66,7 @@ def describe(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame
     groups = list(groups)
     counts = value_counts(df, value, groups)
     stats, wide = _moments(counts, value, groups), _quartiles(counts, value, groups)
-    return stats.join(wide, groups) if groups else stats.crossJoin(F.broadcast(wide))
+    return group_join(stats, wide, groups) if groups else stats.crossJoin(F.broadcast(wide))
 
 
 def percentiles(df: DataFrame, value: str, ps: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
@@ -88,13 +89,13 @@ def histogram(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ())
         F.when(flat, F.col("_low") - 0.5).otherwise(F.col("_low")).alias("_low"),
         F.when(flat, F.col("_high") + 0.5).otherwise(F.col("_high")).alias("_high"),
     )
-    wide = counts.join(spans, groups) if groups else counts.crossJoin(F.broadcast(spans))
+    wide = group_join(counts, spans, groups) if groups else counts.crossJoin(F.broadcast(spans))
     width = (F.col("_high") - F.col("_low")) / bins
     place = F.least(F.floor((F.col(value) - F.col("_low")) / width), F.lit(bins - 1))
     filled = wide.groupBy(*groups, place.cast("bigint").alias("bin")).agg(F.sum("_n").alias("_n"))
     every = spans.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     left = F.col("_low") + F.col("bin") * (F.col("_high") - F.col("_low")) / bins
-    return every.join(filled, [*groups, "bin"], "left").select(
+    return group_join(every, filled, [*groups, "bin"], "left").select(
         *groups, "bin", left.alias("left_edge"), F.coalesce("_n", F.lit(0)).alias("n")
     )
 
@@ -107,7 +108,7 @@ def box_plot(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        counts.join(wide, groups)
+        group_join(counts, wide, groups)
         .groupBy(*groups, "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktext.functions.text import keep_if
-from sparktext.operators.joins import lookup
+from sparktext.operators.joins import group_join, lookup
 from sparktext.session import materialize, parallelism
 
 SAMPLES_PER_RANGE = 16
@@ -23,11 +23,14 @@ HASH_DIGITS = 5
 ONE_TASK_ROWS = 500_000
 
 
-def _cut_points(df: DataFrame, key: str, ranges: int) -> DataFrame:
-    """One row holding the sorted cut points, as a list of lists of about equal length."""
-    sample = (
-        df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(ranges * SAMPLES_PER_RANGE)
-    )
+def _cut_points(df: DataFrame, key: str, ranges: int, groups: Sequence[str] = ()) -> DataFrame:
+    """One row holding the sorted cut points, as a list of lists of about equal length.
+
+    Keys are unique within a group only, so rows are sampled by a hash of group and key: a key that
+    many groups share weighs as many rows, and is not sampled alone.
+    """
+    known = df.select(*groups, key).where(F.col(key).isNotNull())
+    sample = known.orderBy(F.xxhash64(*groups, key), key).limit(ranges * SAMPLES_PER_RANGE).select(key)
     keys = F.array_sort(F.collect_list(key))
     picked = sample.agg(keys.alias("_keys")).select(
         F.filter("_keys", lambda _x, i: (i > 0) & (i % SAMPLES_PER_RANGE == 0)).alias("_cuts")
@@ -79,8 +82,8 @@ def ranked(
         if number:
             sums.append(F.row_number().over(along).cast("bigint").alias(number))
         return df.select("*", *sums)
-    ranges = max(2, min(1024, parallelism(df.sparkSession)))
-    wide = df.crossJoin(F.broadcast(_cut_points(df, order, ranges)))
+    ranges = max(2, parallelism(df.sparkSession))
+    wide = df.crossJoin(F.broadcast(_cut_points(df, order, ranges, groups)))
     sign = -1 if descending else 1
     wide = wide.withColumn("_range", F.lit(sign) * _range_of(F.col(order), F.col("_cuts"))).drop("_cuts")
 
@@ -99,7 +102,7 @@ def ranked(
     )
     inside = W.partitionBy(*groups, "_range").orderBy(direction)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = wide.alias("w").join(offsets.alias("o"), [*groups, "_range"], "inner")
+    out = group_join(wide, offsets, [*groups, "_range"])
     added = [(F.sum(c).over(upto) + F.col(f"_before_{n}")).alias(n) for n, c in running.items()]
     if number:
         added.append((F.row_number().over(inside) + F.col("_rows_before")).cast("bigint").alias(number))
@@ -109,7 +112,7 @@ def ranked(
 def ranked_table(df: DataFrame, order: str, groups: Sequence[str] = (), **kw) -> DataFrame:
     """``ranked`` for an aggregated input: stored first, so that it is computed once, and counted.
 
-    Up to ``ONE_TASK_ROWS`` rows are ranked by plain windows, more by key ranges.
+    Up to ``ONE_TASK_ROWS`` rows are ranked by plain windows, more by key ranges; the result is the same.
     """
     stored = materialize(df)
     small = stored.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
@@ -176,7 +179,7 @@ def hash_split(
 
     ``take`` gets a table (groups..., total) and adds a column ``take``. Hash prefixes are
     counted; every prefix but the one holding the last taken row is decided by comparison
-    alone. Only that one prefix (one millionth of the rows) is sorted.
+    alone. Only that one prefix (one millionth of the rows) is sorted. Rows of a NULL group are left out.
     """
     groups = list(groups)
     h = df.withColumn("_hash", hash_key(key, seed=seed)).withColumn("_range", _hash_range(F.col("_hash")))
@@ -205,7 +208,7 @@ def carry_forward(df: DataFrame, order: str, value: str, output: str) -> DataFra
 
     Inside a key range by window; across ranges from a table with one row per range.
     """
-    ranges = max(2, min(1024, parallelism(df.sparkSession)))
+    ranges = max(2, parallelism(df.sparkSession))
     wide = df.crossJoin(F.broadcast(_cut_points(df, order, ranges)))
     wide = wide.withColumn("_range", _range_of(F.col(order), F.col("_cuts"))).drop("_cuts")
     last = wide.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))

@@ -170,7 +170,7 @@ def unknown_word_vectors(spark, sf):
     return entries(out, "word", F.col("vector"))
 
 
-_TINY = wordvec.WordVectorOptions(vector_size=16, window=3, min_count=5, epochs=1, max_vocab_size=2000, partitions=4)
+_TRAINED = wordvec.WordVectorOptions(vector_size=32)
 
 
 def _short_docs(spark, sf):
@@ -179,18 +179,18 @@ def _short_docs(spark, sf):
 
 @query("t10_trained_word_vectors")
 def trained_word_vectors(spark, sf):
-    return wordvec.vector_table(wordvec.train_word_vectors(_short_docs(spark, sf), _TINY))
+    return wordvec.vector_table(wordvec.train_word_vectors(_short_docs(spark, sf), _TRAINED))
 
 
 @query("t13_t14_paragraph_vectors")
 def paragraph_vectors(spark, sf):
     df = _short_docs(spark, sf)
-    return wordvec.infer_paragraph_vectors(df, wordvec.train_paragraph_vectors(df, _TINY, dm=1))
+    return wordvec.infer_paragraph_vectors(df, wordvec.train_paragraph_vectors(df, _TRAINED, dm=1))
 
 
 @query("t15_continued_training")
 def continued_training(spark, sf):
     more = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lower("text").alias("text"))
-    return wordvec.vector_table(wordvec.continue_training(_short_docs(spark, sf), more, _TINY))
+    return wordvec.vector_table(wordvec.continue_training(_short_docs(spark, sf), more, _TRAINED))
 
 

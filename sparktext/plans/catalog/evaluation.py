@@ -110,14 +110,19 @@ _SPLIT = "split AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42
     "e8_split_reports",
     f"""WITH {SQL_PAIRS.replace('pairs AS', 'every AS')}, {_SPLIT}, a AS (SELECT e.*, split FROM every e JOIN split USING (doc_id)), t AS (SELECT split, label, prediction, count(*) AS n FROM a GROUP BY ALL),
 sides AS (SELECT split, label AS class, n AS support, 0 AS predicted, CASE WHEN label = prediction THEN n ELSE 0 END AS hits FROM t UNION ALL SELECT split, prediction, 0, n, 0 FROM t),
-sums AS (SELECT split, class, sum(support) AS support, sum(predicted) AS predicted, sum(hits) AS hits FROM sides GROUP BY ALL)
-SELECT split, CAST(class AS VARCHAR) AS class, round(CASE WHEN predicted > 0 THEN hits / CAST(predicted AS DOUBLE) ELSE 0 END, 9) AS precision, round(CASE WHEN support > 0 THEN hits / CAST(support AS DOUBLE) ELSE 0 END, 9) AS recall, CAST(support AS BIGINT) AS support FROM sums""",
+sums AS (SELECT split, class, sum(support) AS support, sum(predicted) AS predicted, sum(hits) AS hits FROM sides GROUP BY ALL),
+pr AS (SELECT split, class, hits, CASE WHEN predicted > 0 THEN hits / CAST(predicted AS DOUBLE) ELSE 0 END AS precision, CASE WHEN support > 0 THEN hits / CAST(support AS DOUBLE) ELSE 0 END AS recall, CAST(support AS BIGINT) AS support FROM sums),
+sc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr),
+r AS (SELECT split, CAST(class AS VARCHAR) AS class, precision, recall, f1, support FROM sc
+UNION ALL SELECT split, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM sc GROUP BY split
+UNION ALL SELECT split, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM sc GROUP BY split
+UNION ALL SELECT split, 'accuracy', sum(hits) / CAST(sum(support) AS DOUBLE), sum(hits) / CAST(sum(support) AS DOUBLE), sum(hits) / CAST(sum(support) AS DOUBLE), CAST(sum(support) AS BIGINT) FROM sc GROUP BY split)
+SELECT split, class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM r""",
 )
 def split_reports(spark, sf):
     split = train_test_split(pairs(spark, sf))
     out = evaluate.compare_splits(train=split.where("split = 'train'"), test=split.where("split = 'test'"))
-    per_class = out.where(~F.col("class").isin("accuracy", "macro avg", "weighted avg"))
-    return _round(per_class.select("split", "class", "precision", "recall", "support"), "precision", "recall")
+    return _round(out, "precision", "recall", "f1")
 
 
 _EXPERIMENTS = f"WITH {SQL_PAIRS}, m AS (SELECT source AS experiment, round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy, round(avg(confidence), 9) AS confidence FROM pairs GROUP BY source)"

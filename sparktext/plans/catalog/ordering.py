@@ -18,10 +18,10 @@ def _labelled(spark, sf):
 
 @query(
     "w1_positions_in_group",
-    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_number, count(*) OVER (PARTITION BY conv_id) - 1 AS total_lines FROM conversations",
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_number, count(*) OVER (PARTITION BY conv_id) - 1 AS total_lines FROM (SELECT nullif(conv_id, 3) AS conv_id, turn FROM conversations)",
 )
 def positions_in_group(spark, sf):
-    df = read_table(spark, sf, "conversations").select("conv_id", "turn")
+    df = read_table(spark, sf, "conversations").select(F.nullif("conv_id", F.lit(3)).alias("conv_id"), "turn")
     return sampling.with_positions(df, "conv_id", "turn")
 
 
@@ -144,10 +144,11 @@ def mini_corpus(spark, sf):
 
 @query(
     "v8_stratified_folds",
-    f"WITH {SQL_CORPUS} SELECT doc_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM corpus",
+    f"WITH {SQL_CORPUS} SELECT doc_id, nullif(label, 2) AS label, CAST((row_number() OVER (PARTITION BY nullif(label, 2) ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM corpus",
 )
 def stratified_folds(spark, sf):
-    return sampling.stratified_folds(_labelled(spark, sf).select("doc_id", "label"), 5)
+    rows = _labelled(spark, sf).select("doc_id", F.nullif("label", F.lit(2)).alias("label"))  # rows without a label have folds too
+    return sampling.stratified_folds(rows, 5)
 
 
 def _sql_sequences(tokens: str, length: int, cap: int) -> str:

@@ -98,9 +98,17 @@ def describe(spark, sf):
     return _rounded(profile.describe(sized(spark, sf), "n_words"), *_ROUNDED)
 
 
-@query("a8_describe_per_class", f"WITH {SQL_SIZED} SELECT label_text, {_DESCRIBE} GROUP BY label_text")
+# One class is NULL: it is a group like any other.
+SQL_NULLED = SQL_SIZED.replace("lang AS label_text", "nullif(lang, 'es') AS label_text")
+
+
+def _nulled(spark, sf):
+    return sized(spark, sf).withColumn("label_text", F.nullif("label_text", F.lit("es")))
+
+
+@query("a8_describe_per_class", f"WITH {SQL_NULLED} SELECT label_text, {_DESCRIBE} GROUP BY label_text")
 def describe_per_class(spark, sf):
-    return _rounded(profile.describe(sized(spark, sf), "n_words", ["label_text"]), *_ROUNDED)
+    return _rounded(profile.describe(_nulled(spark, sf), "n_words", ["label_text"]), *_ROUNDED)
 
 
 @query("a9_percentiles", f"WITH {SQL_SIZED} {_sql_percentiles((0.05, 0.95, 0.98))}")
@@ -121,10 +129,10 @@ def null_counts(spark, sf):
 
 def _sql_histogram(bins: int, group: str = "") -> str:
     g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
-    on = f"r.{group} = s.{group}" if group else "true"
-    same = f"b.{group} = e.{group} AND " if group else ""
+    on = f"r.{group} IS NOT DISTINCT FROM s.{group}" if group else "true"
+    same = f"b.{group} IS NOT DISTINCT FROM e.{group} AND " if group else ""
     return (
-        f"WITH {SQL_SIZED}, r AS (SELECT {g}CAST(min(n_words) AS DOUBLE) AS lo, CAST(max(n_words) AS DOUBLE) AS hi FROM sized {by}), "
+        f"WITH {SQL_NULLED if group else SQL_SIZED}, r AS (SELECT {g}CAST(min(n_words) AS DOUBLE) AS lo, CAST(max(n_words) AS DOUBLE) AS hi FROM sized {by}), "
         f"b AS (SELECT {'s.' + g if g else ''}CAST(least(floor((n_words - lo) / ((hi - lo) / {bins})), {bins - 1}) AS BIGINT) AS bin, count(*) AS n FROM sized s JOIN r ON {on} GROUP BY ALL), "
         f"e AS (SELECT {g}lo, hi, unnest(range(0, {bins})) AS bin FROM r) "
         f"SELECT {'e.' + g if g else ''}e.bin, round(lo + e.bin * (hi - lo) / {bins}, 6) AS left_edge, coalesce(n, 0) AS n FROM e LEFT JOIN b ON {same}b.bin = e.bin"
@@ -138,18 +146,18 @@ def histogram(spark, sf):
 
 @query("a12_histogram_per_class", _sql_histogram(30, "label_text"))
 def histogram_per_class(spark, sf):
-    return _rounded(profile.histogram(sized(spark, sf), "n_words", 30, ["label_text"]), "left_edge")
+    return _rounded(profile.histogram(_nulled(spark, sf), "n_words", 30, ["label_text"]), "left_edge")
 
 
 @query(
     "a13_box_plot_per_class",
-    f"""WITH {SQL_SIZED}, q AS (SELECT label_text, quantile_cont(n_words, 0.25) AS q25, quantile_cont(n_words, 0.5) AS q50, quantile_cont(n_words, 0.75) AS q75 FROM sized GROUP BY 1),
-j AS (SELECT *, n_words BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) AS inside FROM sized JOIN q USING (label_text))
+    f"""WITH {SQL_NULLED}, q AS (SELECT label_text, quantile_cont(n_words, 0.25) AS q25, quantile_cont(n_words, 0.5) AS q50, quantile_cont(n_words, 0.75) AS q75 FROM sized GROUP BY 1),
+j AS (SELECT s.*, q25, q50, q75, n_words BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) AS inside FROM sized s JOIN q ON s.label_text IS NOT DISTINCT FROM q.label_text)
 SELECT label_text, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, CAST(min(n_words) FILTER (inside) AS DOUBLE) AS whisker_low,
 CAST(max(n_words) FILTER (inside) AS DOUBLE) AS whisker_high, count(*) FILTER (NOT inside) AS outliers FROM j GROUP BY label_text, q25, q50, q75""",
 )
 def box_plot_per_class(spark, sf):
-    return _rounded(profile.box_plot(sized(spark, sf), "n_words", ["label_text"]), "q25", "q50", "q75")
+    return _rounded(profile.box_plot(_nulled(spark, sf), "n_words", ["label_text"]), "q25", "q50", "q75")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktext.operators import catfreq, evaluate, tfidf
-from sparktext.plans.catalog.evaluation import pairs
+from sparktext.plans.catalog.evaluation import _SCORES, SQL_PAIRS, pairs
 from sparktext.plans.catalog.registry import SQL_CORPUS, corpus, documents, query
 from sparktext.plans.catalog.vectorising import SQL_TFIDF, SQL_VOCABULARY, options
 from sparktext.plans.catalog.weighting import SQL_CF, model
@@ -64,27 +64,35 @@ def json_arrays(spark, sf):
     return back.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
-_LINE = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
+# A record mark inside the text is text; blanks at its ends go.
+_LINE = r"trim(regexp_replace('### ' || text || ' ### end', '[\r\n]+', ' ', 'g'))"
+_ROLE = "CASE role WHEN 'user' THEN 'RESULTS' WHEN 'assistant' THEN 'OBJECTIVE' ELSE role END"
+
+
+def _marked(spark, sf):
+    turns = readers.read_table(spark, sf, "conversations")
+    target = F.when(F.col("role") == "user", "RESULTS").when(F.col("role") == "assistant", "OBJECTIVE").otherwise(F.col("role"))
+    return turns.select("conv_id", "turn", target.alias("target"), F.concat(F.lit("### "), "text", F.lit(" ### end")).alias("text"))
 
 
 @query(
     "s7_sectioned_text",
-    f"SELECT CAST(conv_id AS VARCHAR) AS id, md5({_LINE}) AS digest, CASE role WHEN 'user' THEN 1 ELSE 0 END AS label, role AS label_text FROM conversations WHERE role IN ('user', 'assistant')",
+    f"SELECT CAST(conv_id AS VARCHAR) AS id, md5({_LINE}) AS digest, CASE role WHEN 'user' THEN 1 ELSE 4 END AS label, {_ROLE} AS label_text FROM conversations WHERE role IN ('user', 'assistant')",
 )
 def sectioned_text(spark, sf):
     path = scratch_path(spark, "sections")
-    writers.write_sections(readers.read_table(spark, sf, "conversations"), path, "conv_id", "turn", "role")
-    rows = readers.read_sections(spark, path, {"assistant": 0, "user": 1})
+    writers.write_sections(_marked(spark, sf), path, "conv_id", "turn", "target")
+    rows = readers.read_sections(spark, path)
     return rows.select("id", F.md5("text").alias("digest"), "label", "label_text")
 
 
 @query(
     "s8_positioned_lines",
-    f"SELECT CAST(conv_id AS VARCHAR) AS group_id, role AS target, md5(lower({_LINE})) AS digest, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS line_number, CAST(count(*) OVER (PARTITION BY conv_id) - 1 AS INTEGER) AS total_lines FROM conversations",
+    f"SELECT CAST(conv_id AS VARCHAR) AS group_id, {_ROLE} AS target, md5(lower({_LINE})) AS digest, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS line_number, CAST(count(*) OVER (PARTITION BY conv_id) - 1 AS INTEGER) AS total_lines FROM conversations",
 )
 def positioned_lines(spark, sf):
     path = scratch_path(spark, "lines")
-    writers.write_sections(readers.read_table(spark, sf, "conversations"), path, "conv_id", "turn", "role")
+    writers.write_sections(_marked(spark, sf), path, "conv_id", "turn", "target")
     rows = readers.read_positioned_lines(spark, path)
     return rows.select("group_id", "target", F.md5("text").alias("digest"), "line_number", "total_lines")
 
@@ -100,14 +108,16 @@ def word_vector_text(spark, sf):
 
 @query("s12_sparse_vector_round_trip", f"WITH {SQL_TFIDF} SELECT doc_id, label, term_id, round(weight, 6) AS weight FROM tfidf")
 def sparse_vector_round_trip(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     path = scratch_path(spark, "sparse")
     df = corpus(spark, sf)
     fit = tfidf.fit_tfidf(df, options())
     vectors.write_vectors(fit.encode(df, keep=["label"]), fit.size, path)
-    dense = vectors.read_vectors(spark, path).select("doc_id", "label", F.posexplode(vector_to_array("features")).alias("term_id", "weight"))
-    return dense.where("weight <> 0").withColumn("weight", F.round("weight", 6))
+    stored = vectors.read_vectors(spark, path).schema
+    # The stored form of a sparse vector, so that no row becomes as long as the vocabulary.
+    form = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+    raw = spark.read.schema(", ".join(f"{f.name} {form if f.name == 'features' else f.dataType.simpleString()}" for f in stored)).parquet(path)
+    entries = raw.select("doc_id", "label", F.explode(F.arrays_zip(F.col("features.indices").alias("i"), F.col("features.values").alias("v"))).alias("e"))
+    return entries.select("doc_id", "label", F.col("e.i").alias("term_id"), F.round("e.v", 6).alias("weight"))
 
 
 @query("s13_vectors_as_json_text", "SELECT vec_id, unnest(range(0, 64)) AS dim, unnest(list_transform(embedding::DOUBLE[], lambda x: round(x, 6))) AS value FROM embeddings")
@@ -130,13 +140,20 @@ def incremental_scan(spark, sf):
     return spark.read.parquet(sink).select("doc_id", F.md5("text").alias("digest"), "lang", "n")
 
 
-@query("s15_s16_metric_files")
+@query(
+    "s15_s16_metric_files",
+    f"""WITH {SQL_PAIRS}, {_SCORES}, acc AS (SELECT avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM pairs),
+means AS (SELECT sum(precision * support) / sum(support) AS precision, sum(recall * support) / sum(support) AS recall, sum(f1 * support) / sum(support) AS f1 FROM scores)
+SELECT 'part-00000' AS file, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(NULL AS VARCHAR) AS note FROM acc, means
+UNION ALL SELECT 'part-00000', round(accuracy, 9), NULL, NULL, NULL, 'accuracy only' FROM acc""",
+)
 def metric_files(spark, sf):
     path = scratch_path(spark, "metrics")
     scored = pairs(spark, sf)
     writers.write_metrics(evaluate.weighted_scores(scored), path)
     writers.write_metrics(evaluate.accuracy(scored).withColumn("note", F.lit("accuracy only")), path, "append")
-    return readers.read_metrics(spark, path).drop("file_name")
+    file = F.regexp_extract("file_name", "^part-[0-9]+", 0).alias("file")
+    return readers.read_metrics(spark, path).select(file, *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "note")
 
 
 @query(

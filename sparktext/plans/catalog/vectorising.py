@@ -17,18 +17,16 @@ from sparktext.plans.catalog.registry import (
 )
 from sparktext.sources.readers import read_table
 
-TOP = 3000
-
-# Vocabulary of the TOP most frequent terms over all documents, with smoothed idf and ids in term order.
+# All terms of all documents, with smoothed idf and ids in term order.
 SQL_VOCABULARY = f"""{SQL_COUNTS}, nd AS (SELECT count(*) AS n FROM documents),
-top AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS corpus_count FROM counts GROUP BY term ORDER BY corpus_count DESC, term LIMIT {TOP}),
+top AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS corpus_count FROM counts GROUP BY term),
 vocabulary AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, df, corpus_count, ln((1 + n) / (1 + df)) + 1 AS idf FROM top, nd)"""
 SQL_TFIDF = f"""{SQL_VOCABULARY}, raw AS (SELECT doc_id, label, term, term_id, tf * idf AS w FROM counts JOIN vocabulary USING (term)),
 tfidf AS (SELECT doc_id, label, term, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
 def options(**kw) -> tfidf.TermOptions:
-    return tfidf.TermOptions(**{"max_features": TOP, **kw})
+    return tfidf.TermOptions(**kw)
 
 
 def unit_rows(spark, sf, keep=()):
@@ -87,7 +85,7 @@ def tfidf_rows(spark, sf):
     "t4_top_terms_per_class",
     f"""WITH c AS (SELECT doc_id, lang, {sql_clean('text')} AS text FROM documents), kept AS (SELECT * FROM c WHERE trim(text) <> ''),
 counts AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{text.TERM}')) AS term FROM kept) GROUP BY ALL),
-nd AS (SELECT count(*) AS n FROM kept), v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))) + 1 AS idf, sum(tf) AS cc FROM counts, nd GROUP BY term ORDER BY cc DESC, term LIMIT {TOP}),
+nd AS (SELECT count(*) AS n FROM kept), v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))) + 1 AS idf, sum(tf) AS cc FROM counts, nd GROUP BY term),
 w AS (SELECT doc_id, lang, term, tf * idf AS w FROM counts JOIN v USING (term)), u AS (SELECT lang, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w),
 s AS (SELECT lang, count(*) AS docs FROM kept GROUP BY lang), m AS (SELECT lang, term, sum(u) / max(docs) AS mean_weight FROM u JOIN s USING (lang) GROUP BY lang, term)
 SELECT lang, term, round(mean_weight, 6) AS mean_weight, row_number() OVER (PARTITION BY lang ORDER BY round(mean_weight, 6) DESC, term) AS rank FROM m QUALIFY rank <= 5""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
@@ -20,7 +21,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ ALIASES = {"xgboost": "XGBClassifier", "logistic_regression": "LogisticRegressio
 GRIDS = {
     "LogisticRegression": {"max_iter": [100, 1000, 4000], "C": [0.5, 0.7, 0.9, 1], "tol": [1e-3, 1e-4, 1e-5]},
     "SVM": {"C": [0.5, 0.7, 0.9, 1], "kernel": ["linear", "rbf"], "gamma": ["scale", "auto"], "tol": [1e-2, 1e-3, 1e-4]},
-    "XGBClassifier": {"learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "n_estimators": [100, 300, 600]},
+    "XGBClassifier": {"learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "n_estimators": [100, 300, 600], "gamma": [0, 0.1, 0.2]},
 }
 TUNING_GRID = {"learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "n_estimators": [50, 100, 200]}
 
@@ -41,10 +41,72 @@ def dense_vectors(df: DataFrame, column: str = "embedding", output: str = "featu
     return df.withColumn(output, array_to_vector(F.col(column).cast("array<double>")))
 
 
-def make_classifier(name: str, n_rows: int, params: Mapping | None = None, n_features: int = 0, n_classes: int = 2) -> Estimator:
-    """Unfitted classifier by name. ``C`` is the inverse penalty per data set, hence 1/(C*n) here."""
-    p = dict(params or {})
+PARAMETERS = {
+    "LogisticRegression": {"max_iter", "C", "tol"},
+    "SVM": {"max_iter", "C", "tol", "kernel", "gamma", "n_components"},
+    "XGBClassifier": {"learning_rate", "max_depth", "n_estimators", "gamma"},
+    "RandomForest": {"n_estimators", "criterion", "max_depth"},
+    "NaiveBayes": {"alpha"},
+    "NeuralNetwork": {"hidden", "max_iter"},
+}
+# Settings of a run, and those that restate what a classifier here does anyway.
+RUN_PARAMETERS = {"normalize", "grid_search", "grid", "folds", "random_state", "probability", "num_class"}
+IMPLIED = {"penalty": "l2", "solver": "lbfgs", "objective": "multi:softmax", "eval_metric": "mlogloss"}
+
+
+def _checked(name: str, params: Mapping | None) -> tuple[str, dict]:
     name = ALIASES.get(name, name)
+    if name not in PARAMETERS:
+        raise ValueError(f"unknown classifier {name!r}")
+    given = {k: v for k, v in (params or {}).items() if IMPLIED.get(k, _checked) != v}
+    unknown = set(given) - PARAMETERS[name] - RUN_PARAMETERS
+    if unknown:
+        raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
+    return name, dict(params or {})
+
+
+class FourierMap(Estimator):
+    """Adds ``mapped``, features whose dot products approach the RBF kernel of an input vector.
+
+    ``gamma`` is a number, "auto" for 1/dim, or "scale" for 1/(dim * variance of all entries), which
+    ``fit`` measures. The projection is seeded.
+    """
+
+    def __init__(self, gamma: float | str = "scale", components: int = 256, source: str = "features", seed: int = 42):
+        super().__init__()
+        self.gamma, self.components, self.source, self.seed = gamma, components, source, seed
+
+    def _fit(self, dataset: DataFrame) -> FittedFourierMap:
+        vectors = dataset.select(vector_to_array(self.source).alias("v"))
+        dim, gamma = len(vectors.first()["v"]), self.gamma
+        if gamma == "scale":
+            gamma = scale_gamma(vectors, "v", dim)
+        return FittedFourierMap(1.0 / dim if gamma == "auto" else float(gamma), dim, self.components, self.source, self.seed)
+
+
+class FittedFourierMap(Model):
+    def __init__(self, gamma: float, dim: int, components: int, source: str, seed: int):
+        super().__init__()
+        self.gamma, self.dim, self.components, self.source, self.seed = gamma, dim, components, source, seed
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        wide = dataset.withColumn("_dense", vector_to_array(self.source))
+        out = random_fourier_features(wide, "_dense", self.dim, self.components, self.gamma, self.seed, "_mapped")
+        return out.withColumn("mapped", array_to_vector("_mapped")).drop("_dense", "_mapped")
+
+
+def make_classifier(name: str, n_rows: int, params: Mapping | None = None, n_features: int = 0, n_classes: int = 2) -> Estimator:
+    """Unfitted classifier by name; a parameter it does not have raises.
+
+    ``C`` is the inverse penalty per data set, hence 1/(C*n) here. An SVM has the RBF kernel unless
+    ``kernel="linear"``: a linear SVM on ``n_components`` random Fourier features.
+    """
+    name, p = _checked(name, params)
+    stages: list[Estimator] = []
+    source = "features"
+    if p.get("normalize"):
+        source = "scaled"
+        stages.append(StandardScaler(withMean=False, withStd=True, inputCol="features", outputCol=source))
     if name == "LogisticRegression":
         model: Estimator = LogisticRegression(
             family="multinomial",
@@ -55,12 +117,18 @@ def make_classifier(name: str, n_rows: int, params: Mapping | None = None, n_fea
             standardization=False,
         )
     elif name == "SVM":
+        kernel = p.get("kernel", "rbf")
+        if kernel not in ("linear", "rbf"):
+            raise ValueError(f"unknown kernel {kernel!r}; expected linear or rbf")
         model = OneVsRest(
             classifier=LinearSVC(
                 maxIter=p.get("max_iter", 100), tol=p.get("tol", 1e-3), regParam=1.0 / (p.get("C", 1.0) * max(1, n_rows)), standardization=False
             ),
             parallelism=4,
         )
+        if kernel == "rbf":
+            stages.append(FourierMap(p.get("gamma", "scale"), p.get("n_components", 256), source))
+            source = "mapped"
     elif name == "XGBClassifier":
         model = OneVsRest(
             classifier=GBTClassifier(
@@ -74,16 +142,11 @@ def make_classifier(name: str, n_rows: int, params: Mapping | None = None, n_fea
         )
     elif name == "NaiveBayes":
         model = NaiveBayes(modelType="multinomial", smoothing=p.get("alpha", 1.0))
-    elif name == "NeuralNetwork":
+    else:
         hidden = list(p.get("hidden", [512]))
         model = MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=p.get("max_iter", 100), seed=42)
-    else:
-        raise ValueError(f"unknown classifier {name!r}")
-    if p.get("normalize"):
-        scaler = StandardScaler(withMean=False, withStd=True, inputCol="features", outputCol="scaled")
-        model.setFeaturesCol("scaled")
-        return Pipeline(stages=[scaler, model])
-    return model
+    model.setFeaturesCol(source)
+    return Pipeline(stages=[*stages, model]) if stages else model
 
 
 def random_fourier_features(df: DataFrame, column: str, dim: int, n_features: int = 256, gamma: float | None = None, seed: int = 42, output: str = "features_array") -> DataFrame:
@@ -122,49 +185,39 @@ def predict_probabilities(model: Model, df: DataFrame, key: str = "doc_id", keep
     return out.withColumn("confidence", F.array_max("probabilities"))
 
 
-def _grid(model: Estimator, options: Mapping[str, Sequence], n_rows: int):
-    """MLlib parameter maps for the reachable parameters of a classifier."""
-    stage = model.getStages()[-1] if isinstance(model, Pipeline) else model
-    target = stage.getClassifier() if isinstance(stage, OneVsRest) else stage
-    names = {"max_iter": "maxIter", "tol": "tol", "learning_rate": "stepSize", "max_depth": "maxDepth", "n_estimators": "maxIter", "gamma": "minInfoGain"}
-    builder = ParamGridBuilder()
-    for name, values in options.items():
-        if name == "C":
-            builder.addGrid(target.regParam, [1.0 / (c * max(1, n_rows)) for c in values])
-        elif name == "n_estimators" and hasattr(target, "numTrees"):
-            builder.addGrid(target.numTrees, list(values))
-        elif name in names and hasattr(target, names[name]):
-            builder.addGrid(getattr(target, names[name]), list(values))
-    return builder.build()
-
-
 def grid_search(df: DataFrame, name: str, options: Mapping[str, Sequence] | None = None, params: Mapping | None = None, folds: int = 5, key: str = "doc_id", parallelism: int = 4, n_features: int = 0, n_classes: int = 2):
-    """Cross-validated search by accuracy over stratified folds; returns the fitted CrossValidatorModel.
+    """Cross-validated search by accuracy over every point of a grid, on the same stratified folds.
 
-    OneVsRest hides its inner classifier's parameters from the grid, so for it every point is a
-    separate estimator and the points are compared on the same folds.
+    ``df`` (key, label, features) is a training set that MLlib can hold in the cluster's memory.
+    Returns the model of the best point, fitted on all rows, with ``points`` (a list of parameters
+    and mean accuracy, in grid order), ``best_point`` and ``avgMetrics``. Points are fitted ``parallelism``
+    at a time. An unknown option raises.
     """
     n = df.count()
     options = dict(options if options is not None else GRIDS[ALIASES.get(name, name)])
-    folded = stratified_folds(df, folds, "label", key)
+    points = [{**(params or {}), **dict(zip(options, values, strict=True))} for values in product(*options.values())]
+    for point in points:
+        _checked(name, point)
+    folded = stratified_folds(df, folds, "label", key).persist()
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
-    base = make_classifier(name, n, params, n_features, n_classes)
-    inner = base.getStages()[-1] if isinstance(base, Pipeline) else base
-    if not isinstance(inner, OneVsRest):
-        return CrossValidator(
-            estimator=base, estimatorParamMaps=_grid(base, options, n), evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism
-        ).fit(folded)
-    best = None
-    known = {k: v for k, v in options.items() if k in ("C", "tol", "max_iter", "learning_rate", "max_depth", "n_estimators", "gamma") and all(isinstance(x, (int, float)) for x in v)}
-    for values in product(*known.values()):
-        point = {**(params or {}), **dict(zip(known, values, strict=True))}
-        fitted = CrossValidator(
-            estimator=make_classifier(name, n, point, n_features, n_classes), estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=1
-        ).fit(folded)
-        if best is None or fitted.avgMetrics[0] > best[1]:
-            best = (fitted, fitted.avgMetrics[0], point)
-    best[0].best_point = best[2]
-    return best[0]
+
+    def accuracy(point: dict) -> float:
+        found = []
+        for fold in range(folds):
+            train, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+            found.append(evaluator.evaluate(make_classifier(name, n, point, n_features, n_classes).fit(train).transform(held)))
+        return float(np.mean(found))
+
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = list(pool.map(accuracy, points))
+    finally:
+        folded.unpersist()
+    best = int(np.argmax(scores))
+    model = make_classifier(name, n, points[best], n_features, n_classes).fit(df)
+    model.avgMetrics, model.best_point = scores, points[best]
+    model.points = list(zip(points, scores, strict=True))
+    return model
 
 
 def tune(df: DataFrame, name: str = "XGBClassifier", options: Mapping[str, Sequence] | None = None, folds: int = 3, key: str = "doc_id"):

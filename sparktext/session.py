@@ -41,11 +41,15 @@ _STORED: weakref.WeakSet = weakref.WeakSet()
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, local mode) a temporary folder stands in for it.
+    In local mode a temporary folder stands in for an absent setting. On a cluster every machine
+    would have its own, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparktext-")
@@ -76,13 +80,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# Only tables below this size are dealt out anew; a larger one has splits of its own and is never moved.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` when the scan gives fewer partitions than the session's parallelism.
+    """Hash-repartition a small table by ``key``.
 
-    Small or single-row-group inputs would otherwise run CPU-heavy text work in one task. A
-    large input already has more splits than that and is left alone.
+    A file with a single row group would otherwise run CPU-heavy text work in one task.
     """
-    wanted = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= wanted:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SPREAD_BYTES:
         return df
-    return df.repartition(wanted, key)
+    return df.repartition(parallelism(df.sparkSession), key)

@@ -13,7 +13,8 @@ from sparktext.session import spread
 
 CORPUS_SCHEMA = "text string, label int, label_text string"
 # Sentence labels of abstract files and their codes.
-SECTION_LABELS = {"BACKGROUND": 0, "CONCLUSIONS": 1, "METHODS": 2, "OBJECTIVE": 3, "RESULTS": 4}
+SECTION_LABELS = {"BACKGROUND": 0, "RESULTS": 1, "CONCLUSIONS": 2, "METHODS": 3, "OBJECTIVE": 4}
+BLANKS = " \t\r\n\f\v"
 
 
 def read_table(spark: SparkSession, directory: str, name: str, key: str | None = None) -> DataFrame:
@@ -46,10 +47,11 @@ def read_json_array(spark: SparkSession, path: str, schema: str | StructType = C
 
 
 def _sections(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("lineSep", "###").text(path).where(F.trim("value") != "")
+    # A header is ### at the start of a line; the first of a file has no line end before it.
+    raw = spark.read.option("lineSep", "\n###").text(path).select(F.regexp_replace("value", "^(\ufeff)?###", "").alias("value")).where(F.trim("value") != "")
     lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
     return raw.select(lines.alias("_lines")).where(F.size("_lines") > 0).select(
-        F.trim(F.col("_lines")[0]).alias("id"), F.slice("_lines", 2, F.size("_lines")).alias("_lines")
+        F.btrim(F.col("_lines")[0], F.lit(BLANKS)).alias("id"), F.slice("_lines", 2, F.size("_lines")).alias("_lines")
     )
 
 
@@ -65,7 +67,7 @@ def read_sections(spark: SparkSession, path: str, labels: Mapping[str, int] = SE
     codes = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     return (
         rows.where(F.instr("_line", "\t") > 0)
-        .select("id", body.alias("text"), F.try_element_at(codes, name).alias("label"), name.alias("label_text"))
+        .select("id", F.btrim(body, F.lit(BLANKS)).alias("text"), F.try_element_at(codes, name).alias("label"), name.alias("label_text"))
         .where(F.col("label").isNotNull())
     )
 
@@ -78,7 +80,7 @@ def read_positioned_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "group_id",
         F.substring_index("_line", "\t", 1).alias("target"),
-        F.lower(F.expr("substring(_line, instr(_line, '\t') + 1)")).alias("text"),
+        F.lower(F.btrim(F.expr("substring(_line, instr(_line, '\t') + 1)"), F.lit(BLANKS))).alias("text"),
         "line_number",
         "total_lines",
     )

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def _files(spark: SparkSession, source_format: str, schema: str | StructType, files_per_trigger: int | None):
+    reader = spark.readStream.format(source_format).schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
+
+
 def process_increments(
     spark: SparkSession,
     source: str,
@@ -21,12 +26,14 @@ def process_increments(
     checkpoint: str,
     source_format: str = "parquet",
     sink_format: str = "parquet",
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = None,
     source_options: dict | None = None,
 ) -> None:
-    """Transform all files not seen before and append the result. A rerun continues where it stopped."""
-    reader = spark.readStream.format(source_format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.options(**(source_options or {})).load(source)
+    """Transform all files not seen before and append the result. A rerun continues where it stopped.
+
+    All files go into one batch unless ``files_per_trigger`` is given.
+    """
+    stream = _files(spark, source_format, schema, files_per_trigger).options(**(source_options or {})).load(source)
     writer = transform(stream).writeStream.format(sink_format).outputMode("append")
     if sink_format == "csv":
         writer = writer.option("header", True)
@@ -41,7 +48,7 @@ def process_batches(
     sink: str,
     checkpoint: str,
     source_format: str = "parquet",
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = None,
 ) -> None:
     """Like process_increments for transformations that need batch operators (joins, model scoring).
 
@@ -52,7 +59,7 @@ def process_batches(
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    stream = spark.readStream.format(source_format).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(source)
+    stream = _files(spark, source_format, schema, files_per_trigger).load(source)
     (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
@@ -62,7 +69,7 @@ def process_batches(
     )
 
 
-def annotate_corpus(spark: SparkSession, annotator, source: str, schema: str | StructType, sink: str, checkpoint: str, threshold: float = 0.8, files_per_trigger: int = 1) -> None:
+def annotate_corpus(spark: SparkSession, annotator, source: str, schema: str | StructType, sink: str, checkpoint: str, threshold: float = 0.8, files_per_trigger: int | None = None) -> None:
     """Annotate a growing folder of documents in increments."""
     process_batches(
         spark, source, schema, lambda batch: annotator.annotate(batch, threshold=threshold), sink, checkpoint, files_per_trigger=files_per_trigger

@@ -77,8 +77,8 @@ def test_grid_search_and_tuning(points):
     assert len(found.avgMetrics) == 2 and max(found.avgMetrics) > 0.8
     search, held = classify.tune(points, "RandomForest", {"max_depth": [2], "n_estimators": [5]}, folds=2)
     assert held > 0.7
-    svm = classify.grid_search(points, "SVM", {"C": [1.0], "max_iter": [1]}, folds=2)
-    assert svm.best_point == {"C": 1.0, "max_iter": 1}
+    svm = classify.grid_search(points, "SVM", {"C": [1.0], "max_iter": [1], "kernel": ["linear"]}, folds=2)
+    assert svm.best_point == {"C": 1.0, "max_iter": 1, "kernel": "linear"}
 
 
 def test_same_seed_same_result(points):
@@ -110,7 +110,7 @@ def test_principal_components_are_centred(points):
 
 
 def test_word_and_paragraph_vectors(corpus):
-    options = wordvec.WordVectorOptions(vector_size=8, epochs=2, max_vocab_size=6)
+    options = wordvec.WordVectorOptions(vector_size=8, epochs=2, max_vocab_size=6, partitions=1)
     model = wordvec.train_word_vectors(corpus, options)
     again = wordvec.train_word_vectors(corpus, options)
     assert sorted(map(str, wordvec.vector_table(model).collect())) == sorted(map(str, wordvec.vector_table(again).collect()))

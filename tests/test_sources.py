@@ -65,11 +65,19 @@ def test_sectioned_text(spark, path):
     with open(p, "w") as f:
         f.write(SECTIONS)
     got = {(r["id"], r["text"], r["label"], r["label_text"]) for r in readers.read_sections(spark, p).collect()}
-    assert got == {("123", "First\tpart.", 0, "BACKGROUND"), ("123", "Second.", 4, "RESULTS"), ("124", "Only.", 2, "METHODS")}
+    assert got == {("123", "First\tpart.", 0, "BACKGROUND"), ("123", "Second.", 1, "RESULTS"), ("124", "Only.", 3, "METHODS")}
     lines = {(r["group_id"], r["target"], r["text"], r["line_number"], r["total_lines"]) for r in readers.read_positioned_lines(spark, p).collect()}
     assert ("123", "BACKGROUND", "first\tpart.", 0, 2) in lines and ("124", "METHODS", "only.", 0, 0) in lines
 
 
+def test_section_marks_inside_text_and_windows_line_ends(spark, path):
+    p = path()
+    with open(p, "w", newline="") as f:
+        f.write("###7\r\nBACKGROUND\tlevel ### of sig \r\nMETHODS\t### here\r\n\r\n###8\r\nOBJECTIVE\tend\r\nCONCLUSIONS\tlast\r\n")
+    got = {(r["id"], r["text"], r["label"]) for r in readers.read_sections(spark, p).collect()}
+    assert got == {("7", "level ### of sig", 0), ("7", "### here", 3), ("8", "end", 4), ("8", "last", 2)}
+
+
 def test_word_vector_text_with_header(spark, path):
     p = path()
     with open(p, "w") as f:
