@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparktext.functions.text import _col, let
 
-# HTML character references decoded besides the numeric ones and &amp;.
+# All named references that end with a semicolon, as the language's standard table has them.
+NAMED = {f"&{name}": value for name, value in html5.items() if name.endswith(";")}
+# The most common of them besides &amp;.
 ENTITIES = (
     ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&cent;", "¢"), ("&pound;", "£"), ("&yen;", "¥"), ("&euro;", "€"), ("&copy;", "©"),
@@ -22,7 +26,7 @@ ENTITIES = (
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)\s*>"
 ANY_TAG = r"(?s)</?[a-zA-Z!][^>]*>"
-REFERENCE = r"(&[a-zA-Z]{1,8};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
+REFERENCE = r"(&[a-zA-Z][a-zA-Z0-9]{1,31};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
 MARK = "\u0000"
 
 
@@ -36,10 +40,12 @@ def _numeric(part: Column) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """Decode named and numeric references in one pass; unknown ones stay as written."""
-    names = F.create_map(*[F.lit(x) for pair in (*ENTITIES, ("&amp;", "&")) for x in pair])
+    # A map is searched from its start: the common names have a short one of their own.
+    common = F.create_map(*[F.lit(x) for pair in (*ENTITIES, ("&amp;", "&")) for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
     def decoded(part: Column) -> Column:
-        return F.when(part.startswith("&#"), _numeric(part)).otherwise(F.coalesce(F.try_element_at(names, part), part))
+        return F.when(part.startswith("&#"), _numeric(part)).otherwise(F.coalesce(F.try_element_at(common, part), F.try_element_at(names, part), part))
 
     def split(value: Column) -> Column:
         parts = F.split(F.regexp_replace(value, REFERENCE, f"{MARK}$1{MARK}"), MARK)

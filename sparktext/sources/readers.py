@@ -1,4 +1,4 @@
-"""Readers. Schemas are explicit; nothing is inferred from CSV or JSON text."""
+"""Readers. Schemas are explicit; only read_metrics infers one, from small metric files."""
 
 from __future__ import annotations
 

@@ -102,6 +102,7 @@ def test_scalar_members(spark):
 def test_visible_text(spark):
     page = "<p>A &amp;lt; B&nbsp;&#233;&#x4E2D;</p><!-- x --><script>var a='<p>';</script>&unknown;"
     assert value(spark, html.visible_text("t"), t=page) == "A &lt; B\u00a0é中&unknown;"
+    assert value(spark, html.visible_text("t"), t="&frac12; &hearts; &CounterClockwiseContourIntegral;") == "½ ♥ ∳"
 
 
 def test_tfidf(tiny):
