@@ -358,10 +358,10 @@ def linked_components(docs: DataFrame, percent: int = 80, words: int = 5, id_col
     members = found.where("is_doc").select("doc_id", "text_hash", "set_id", "n")
     lists = found.where("NOT is_doc").select("set_id", "n", "tokens", "often")
     need = F.ceil(F.col("n") * percent / F.lit(100.0))
-    enough = lists.groupBy("set_id").agg(F.max("n").alias("n"), F.sum(F.size("tokens")).alias("kept")).where(F.col("kept") >= need)
-    gathered = lists.join(enough.select("set_id"), "set_id").groupBy("set_id").agg(
+    gathered = lists.groupBy("set_id").agg(
         F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("often")).alias("often")
     )
+    gathered = gathered.where(F.size("tokens") >= need)
     ranked = F.array_sort(F.arrays_zip(F.col("often"), F.col("tokens")))
     sets = stored(gathered.select("set_id", "n", ranked.alias("ranked")), "linkable-sets")
     missing = (F.size("ranked") - need + 1).cast("int")
