@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,8 @@ def _deal(parts: int, words: int, common: np.ndarray):
 
     def doc_rows(batch, ids, sets):
         hashes = batch.column("text_hash")
-        at = np.mod(hashes.to_numpy(), parts).astype("i4")
         n = len(ids)
+        at = ((np.arange(n) + TaskContext.get().partitionId()) % parts).astype("i4")  # copies of a text apart
         blank = pa.nulls(n, pa.binary())
         size = pa.array([len(s) for s in sets], pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.ones(n, bool)), batch.column("doc_id"), hashes, pa.array(ids, pa.binary()), size, blank, blank, blank, blank], NAMES)
