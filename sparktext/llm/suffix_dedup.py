@@ -30,9 +30,9 @@ TOGETHER = 4_000
 KEY_SEGMENTS = 50_000
 # Window starts per refined key: 2**5, then single windows.
 LEVELS = (5, 0)
-SEGMENTS = "gram bigint, doc_id bigint, text_hash bigint, first int, lead int, width int, content bigint"
-BYTES = f"{SEGMENTS}, whole boolean, bytes binary"
-WINDOWS = "doc_id bigint, text_hash bigint, first int, width int"
+SEGMENTS = "gram bigint, doc_id bigint, text_hash bigint, firsts array<int>, lead int, width int, content bigint"
+BYTES = "gram bigint, doc_id bigint, text_hash bigint, first int, lead int, width int, content bigint, whole boolean, bytes binary"
+WINDOWS = "doc_id bigint, text_hash bigint, firsts array<int>, width int"
 
 
 def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +80,8 @@ def segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _segments(length: int):
+    """A row per distinct segment of a document, with all places where it stands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
@@ -90,9 +92,17 @@ def _segments(length: int):
                     found.append(own)
             if found:
                 gram, first, lead, width, content = (np.concatenate(x) for x in zip(*found, strict=True))
-                at = pa.array(np.concatenate(rows))
-                columns = [pa.array(gram), batch.column("doc_id").take(at), batch.column("text_hash").take(at), *[pa.array(x.astype("i4")) for x in (first, lead, width)], pa.array(content)]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "text_hash", "first", "lead", "width", "content"])
+                row = np.concatenate(rows)
+                order = np.lexsort((first, content, width, lead, gram, row))
+                gram, first, lead, width, content, row = (x[order] for x in (gram, first, lead, width, content, row))
+                new = np.ones(len(row), bool)
+                new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (gram, lead, width, content, row)])
+                start = np.flatnonzero(new)
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype("i4")), pa.array(first.astype("i4")))
+                at = pa.array(row[start])
+                columns = [pa.array(gram[start]), batch.column("doc_id").take(at), batch.column("text_hash").take(at), firsts]
+                columns += [*[pa.array(x[start].astype("i4")) for x in (lead, width)], pa.array(content[start])]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "text_hash", "firsts", "lead", "width", "content"])
 
     return run
 
@@ -179,7 +189,8 @@ def _construct(length: int):
         at = pa.array(row)
         picked = [rows[c].combine_chunks().take(at) for c in ("doc_id", "text_hash")]
         first = rows["first"].to_numpy()[row] + first
-        return pa.RecordBatch.from_arrays([*picked, pa.array(first.astype("i4")), pa.array(number.astype("i4"))], ["doc_id", "text_hash", "first", "width"])
+        firsts = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype="i4")), pa.array(first.astype("i4")))
+        return pa.RecordBatch.from_arrays([*picked, firsts, pa.array(number.astype("i4"))], ["doc_id", "text_hash", "firsts", "width"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -234,14 +245,18 @@ PLACE = ["doc_id", "text_hash", "first"]
 
 def _alike(rows: DataFrame) -> DataFrame:
     """Equal segments of a key: how many, and the first of them."""
-    return rows.groupBy(*ALIKE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("one"))
+    listed = "firsts" in rows.columns
+    n = F.sum(F.size("firsts")) if listed else F.count(F.lit(1))
+    place = F.struct("doc_id", "text_hash", F.get("firsts", F.lit(0)).alias("first")) if listed else F.struct(*PLACE)
+    return rows.groupBy(*ALIKE).agg(n.alias("n"), F.min(place).alias("one"))
 
 
 def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", key_segments: int = KEY_SEGMENTS) -> DataFrame:
-    """(doc_id, text_hash, first, width): windows of ``length`` bytes, ``width`` neighbouring starts from
-    byte ``first`` on, whose string starts at another place of the corpus too.
+    """(doc_id, text_hash, firsts, width): windows of ``length`` bytes, ``width`` neighbouring starts from
+    each byte of ``firsts`` on, whose string starts at another place of the corpus too.
 
-    1. Segments and their hashes are written (about one per 185 bytes at length 400); keys met once go.
+    1. Segments and their hashes are written (about one per 185 bytes at length 400, one row for all
+       equal ones of a document); keys met once go.
     2. Equal segments of a key are counted: all windows of two equal ones are repeated, and one stays.
     3. Of keys with different segments the bytes are fetched and their columns built, key by key.
        A key with more than ``key_segments`` of them is first cut into keys of 32 window starts that
@@ -255,10 +270,12 @@ def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
         raise ValueError(f"length must be at least {GRAM + 2}")
     own = identified(docs, id_col, text_col)
     found = stored(own.mapInArrow(_segments(length), SEGMENTS), "segments")
-    met = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
+    # Written first: a join of two shuffles is split where a key is hot, one on top of an aggregate is not.
+    met = stored(found.groupBy("gram").agg(F.sum(F.size("firsts")).alias("times")).where("times > 1").select("gram"), "met-keys")
     again = stored(found.join(met, "gram"), "repeated-segments")
     alike = stored(_alike(again), "equal-segments")
-    whole = again.join(alike.where("n > 1").select(*ALIKE), ALIKE).select(*PLACE, "width")
+    windows = ["doc_id", "text_hash", "firsts", "width"]
+    whole = again.join(alike.where("n > 1").select(*ALIKE), ALIKE).select(*windows)
     kinds = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     unlike = alike.join(kinds, "gram").select(*ALIKE, "kinds", (F.col("n") > 1).alias("whole"), "one.*")
     listed = unlike.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("gram", "first", "lead", "width", "content", "whole")).alias("wanted"))
@@ -275,7 +292,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
             pieces = stored(rows.join(crowded, "gram").select(*rows.columns).mapInArrow(_refine(length, level), BYTES), "pieces")
             equal = stored(_alike(pieces), "equal-pieces")
             # A piece of a whole segment stands for at least two places.
-            parts.append(pieces.join(equal.where("n > 1").select(*ALIKE), ALIKE).where(~F.col("whole")).select(*PLACE, "width"))
+            parts.append(pieces.join(equal.where("n > 1").select(*ALIKE), ALIKE).where(~F.col("whole")).withColumn("firsts", F.array("first")).select(*windows))
             kinds = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
             left = equal.join(kinds.select("gram"), "gram").select(*ALIKE, "one", (F.col("n") > 1).alias("several"))
             named = pieces.withColumn("one", F.struct(*PLACE)).join(left, [*ALIKE, "one"])
@@ -298,9 +315,10 @@ def _built(rows: DataFrame, length: int) -> DataFrame:
 def kept_bytes(raw: bytes, windows: list[dict], length: int) -> tuple[np.ndarray, bytes]:
     """(flags of the bytes that go, the other bytes)."""
     edge = np.zeros(len(raw) + 1, np.int32)
-    first = np.array([w["first"] for w in windows], np.int64)
+    first = np.concatenate([np.asarray(w["firsts"], np.int64) for w in windows])
+    width = np.repeat([w["width"] for w in windows], [len(w["firsts"]) for w in windows])
     np.add.at(edge, first, 1)
-    np.add.at(edge, first + np.array([w["width"] for w in windows], np.int64) - 1 + length, -1)
+    np.add.at(edge, first + width - 1 + length, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return gone, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
@@ -326,9 +344,9 @@ def _cut(length: int):
 
 
 def windows_by_document(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, text_hash, windows array<struct<first, width>>) of the documents with repeated strings."""
+    """(doc_id, text_hash, windows array<struct<firsts, width>>) of the documents with repeated strings."""
     windows = repeated_strings(docs, length, id_col, text_col, **options)
-    return windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "width")).alias("windows"))
+    return windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("firsts", "width")).alias("windows"))
 
 
 def cut_column(text: Column, windows: Column, length: int) -> Column:
