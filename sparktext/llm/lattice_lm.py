@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.llm.common import identified, stored
+from sparktext.llm.words import mixed, powers
 
 WORD_MARK = "▁"
 END_OF_WORD = "\n"  # never inside a word
-END_OF_TEXT = ""  # the token after the last word
+END_OF_TEXT = ""  # the token after the last word, as no word is empty
+# Words of one length that form a matrix, and the longest that do.
+MATRIX_WORDS = 20_000
+MATRIX_CHARS = 40
 COUNTED_WORDS = 300_000  # distinct words a task gathers before it passes them on
 # Bound of the broadcast table of frequent words.
 FREQUENT_WORDS = 131_072
@@ -24,9 +28,9 @@ FREQUENT_BYTES = 16 << 20
 PARTS = "doc_id bigint, text_hash bigint, held_out boolean, word string, n bigint, copies bigint, known bigint, base double, score double"
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str) -> list[bytes]:
     """A-Z lower-cased, cut at ASCII blanks."""
-    return [w.decode() for w in text.encode().lower().split()]
+    return text.encode().lower().split()
 
 
 @dataclass
@@ -136,14 +140,141 @@ def _uses(word: str, pieces: Pieces, longest: int, first: Counter, later: Counte
     later[END_OF_WORD] += 1
 
 
+class Lattice:
+    """The same recursions over many words at once: words of one length are the rows of a matrix.
+
+    Pieces are found by the hash of a stretch of characters, from running sums over each row.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.longest = pieces, pieces.longest()
+        self.up, self.down = powers(MATRIX_CHARS + 1)
+        self.sides = []
+        for side in (pieces.first, pieces.later):
+            names = [p for p in side if p and p != END_OF_WORD and not p.startswith("<0x")]
+            keys = np.array([self._hash_of(p) for p in names], np.uint64)
+            order = np.argsort(keys)
+            self.sides.append(([names[i] for i in order], keys[order], np.array([side[names[i]] for i in order])))
+        self.spelled: dict[int, float] = {}
+
+    def _sums(self, codes: np.ndarray) -> np.ndarray:
+        sums = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+        np.cumsum((codes + np.uint64(1)) * self.up[: codes.shape[0], None], axis=0, out=sums[1:])
+        return sums
+
+    def _hash(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
+        return mixed((sums[j] - sums[i]) * self.down[i] + np.uint64(j - i))
+
+    def _hash_of(self, piece: str) -> np.uint64:
+        return self._hash(self._sums(np.array([[ord(c)] for c in piece], np.uint64)), 0, len(piece))[0] if len(piece) <= MATRIX_CHARS else np.uint64(0)
+
+    def _found(self, side: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, keys, logs = self.sides[side]
+        at = np.searchsorted(keys, h)
+        at[at == len(keys)] = 0
+        return at, np.where(keys[at] == h, logs[at], -np.inf)
+
+    def _bytes(self, codes: np.ndarray) -> np.ndarray:
+        """Log-probability of single characters spelled by bytes."""
+        kinds, inverse = np.unique(codes, return_inverse=True)
+        for c in kinds.tolist():
+            if c not in self.spelled:
+                self.spelled[c] = sum(self.pieces.later[f"<0x{b:02X}>"] for b in chr(c).encode())
+        return np.array([self.spelled[c] for c in kinds.tolist()])[inverse]
+
+    def _forward(self, words: list[str]):
+        n = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.uint64)
+        sums = self._sums(codes)
+        reached = np.full((n + 1, len(words)), -np.inf)
+        reached[0] = self.pieces.first[""]
+        begin, inside = [], []
+        for j in range(1, min(n, self.longest) + 1):
+            at, p = self._found(0, self._hash(sums, 0, j))
+            if np.isfinite(p).any():
+                begin.append((j, at, p))
+                reached[j] = np.logaddexp(reached[j], p)
+        spelled = []
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                at, p = self._found(1, self._hash(sums, i, j))
+                if j == i + 1:
+                    lost = np.flatnonzero(~np.isfinite(p))
+                    if len(lost):
+                        own = np.full(len(words), -np.inf)
+                        own[lost] = self._bytes(codes[i][lost])
+                        spelled.append((i, codes[i], own))
+                        reached[j] = np.logaddexp(reached[j], reached[i] + own)
+                if np.isfinite(p).any():
+                    inside.append((i, j, at, p))
+                    reached[j] = np.logaddexp(reached[j], reached[i] + p)
+        return reached, begin, inside, spelled
+
+    def _by_length(self, words: list[str]):
+        """(places, words) of one length; words too long for a matrix one by one."""
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(sizes, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for k in range(0, len(places), MATRIX_WORDS):
+                own = places[k : k + MATRIX_WORDS]
+                yield own, [words[i] for i in own]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural log of each word's probability, as word_log_probability() gives it."""
+        out = np.zeros(len(words))
+        for places, own in self._by_length(words) if words else ():
+            if len(own[0]) > MATRIX_CHARS:
+                out[places] = [word_log_probability(w, self.pieces, self.longest) for w in own]
+            else:
+                out[places] = self._forward(own)[0][-1] + self.pieces.later[END_OF_WORD]
+        return out
+
+    def uses(self, words: list[str], first: Counter, later: Counter) -> None:
+        """Add the expected use of each piece in the words."""
+        counts = [np.zeros(len(names)) for names, _, _ in self.sides]
+        for _, own in self._by_length(words) if words else ():
+            n = len(own[0])
+            if n > MATRIX_CHARS:
+                for w in own:
+                    _uses(w, self.pieces, self.longest, first, later)
+                continue
+            reached, begin, inside, spelled = self._forward(own)
+            left = np.full((n + 1, len(own)), -np.inf)
+            left[n] = 0.0
+            by_start: list[list] = [[] for _ in range(n)]
+            for i, j, at, p in inside:
+                by_start[i].append((j, p))
+            for i, _, p in spelled:
+                by_start[i].append((i + 1, p))
+            for i in range(n - 1, -1, -1):
+                for j, p in by_start[i]:
+                    left[i] = np.logaddexp(left[i], p + left[j])
+            for i, j, at, p in inside:
+                counts[1] += np.bincount(at, np.exp(reached[i] + p + left[j] - reached[n]), len(counts[1]))
+            for i, codes, p in spelled:
+                use = np.exp(reached[i] + p + left[i + 1] - reached[n])
+                kinds, inverse = np.unique(codes, return_inverse=True)
+                for c, u in zip(kinds.tolist(), np.bincount(inverse, use).tolist(), strict=True):
+                    if u > 0:
+                        for b in chr(c).encode():
+                            later[f"<0x{b:02X}>"] += u
+            for j, at, p in begin:
+                counts[0] += np.bincount(at, np.exp(p + left[j] - reached[n]), len(counts[0]))
+            first[""] += float(np.exp(self.pieces.first[""] + left[0] - reached[n]).sum())
+            later[END_OF_WORD] += len(own)
+        for total, count, (names, _, _) in zip((first, later), counts, self.sides, strict=True):
+            for k in np.flatnonzero(count > 1e-9).tolist():
+                total[names[k]] += float(count[k])
+
+
 def held_out(id_col: str, folds: int = 5, fold: int = 1) -> Column:
     """Whether crc32 of the id as text leaves ``fold``; a NULL id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def passed(seen: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+    def passed(seen: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
     trained, other = Counter(), set()
     for batch in batches:
@@ -152,7 +283,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other.update(words_of(text))
             else:
                 trained.update(words_of(text))
-                trained[END_OF_TEXT] += 1
+                trained[END_OF_TEXT.encode()] += 1
             if len(trained) + len(other) > COUNTED_WORDS:
                 yield passed(dict.fromkeys(other, 0) | trained)
                 trained, other = Counter(), set()
@@ -174,10 +305,9 @@ def adapted(words: DataFrame, first: dict[str, float], later: dict[str, float],
     for _ in range(rounds):
 
         def expected(batches: Iterator[pa.RecordBatch], pieces=pieces) -> Iterator[pa.RecordBatch]:
-            begun, went, longest = Counter(), Counter(), pieces.longest()
+            begun, went, lattice = Counter(), Counter(), Lattice(pieces)
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    _uses(word, pieces, longest, begun, went)
+                lattice.uses(batch.column(0).to_pylist(), begun, went)
             kind = [True] * len(begun) + [False] * len(went)
             columns = [pa.array(kind, pa.bool_()), pa.array([*begun, *went], pa.string()), pa.array([*begun.values(), *went.values()], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["begins", "piece", "uses"])
@@ -232,9 +362,9 @@ def scored_words(words: DataFrame, pieces: Pieces, corpus: Corpus) -> DataFrame:
     """(word, c, base, score): log10 probabilities of every distinct word, each computed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = pieces.longest()
+        lattice = Lattice(pieces)
         for batch in batches:
-            log_p = np.array([word_log_probability(w, pieces, longest) for w in batch.column("word").to_pylist()], np.float64)
+            log_p = lattice.log_probabilities(batch.column("word").to_pylist())
             c = batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64)
             columns = [batch.column("word"), batch.column("c"), pa.array(corpus.base(c)), pa.array(corpus.mixed(c, log_p))]
             yield pa.RecordBatch.from_arrays(columns, ["word", "c", "base", "score"])
@@ -242,7 +372,7 @@ def scored_words(words: DataFrame, pieces: Pieces, corpus: Corpus) -> DataFrame:
     return words.where(F.col("word") != END_OF_TEXT).mapInArrow(run, "word string, c bigint, base double, score double")
 
 
-def frequent(scored: DataFrame) -> dict[str, tuple[int, float, float]]:
+def frequent(scored: DataFrame) -> dict[bytes, tuple[int, float, float]]:
     """The most frequent words with (known, base, score), bounded in number and bytes.
 
     The cut is taken from a histogram of counts with eight steps per doubling.
@@ -258,7 +388,7 @@ def frequent(scored: DataFrame) -> dict[str, tuple[int, float, float]]:
     if cut is None:
         return {}
     rows = scored.where((F.col("c") > 0) & (step >= cut)).select("word", "base", "score").toArrow().to_pydict()
-    return {w: (1, b, s) for w, b, s in zip(rows["word"], rows["base"], rows["score"], strict=True)}
+    return {w.encode(): (1, b, s) for w, b, s in zip(rows["word"], rows["base"], rows["score"], strict=True)}
 
 
 def repeated(log10_p: float, n: int, strength: float) -> float:
@@ -270,7 +400,7 @@ def repeated(log10_p: float, n: int, strength: float) -> float:
 
 def _partial(table, end, strength: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = table.value
+        known_words, once = table.value, math.log10(strength)
         for batch in batches:
             ids, hashes, outs = (batch.column(c) for c in ("doc_id", "text_hash", "held_out"))
             rows, words, counts, copies, knowns, bases, scores = [], [], [], [], [], [], []
@@ -282,7 +412,7 @@ def _partial(table, end, strength: float):
                     found = known_words.get(word)
                     if found is None:
                         rows.append(row)
-                        words.append(word)
+                        words.append(word.decode())
                         counts.append(n)
                         copies.append(0)
                         knowns.append(0)
@@ -291,7 +421,7 @@ def _partial(table, end, strength: float):
                     else:
                         known += n
                         base += n * found[1]
-                        score += repeated(found[2], n, strength)
+                        score += once + found[2] if n == 1 else repeated(found[2], n, strength)
                 rows.append(row)
                 words.append(f"\t{row}")  # no word has a tab: meets nothing, and is no hot key
                 counts.append(len(tokens) + 1)

@@ -47,6 +47,21 @@ def test_word_probability_sums_all_segmentations():
         assert lattice_lm.word_log_probability(word, pieces, pieces.longest()) == pytest.approx(math.log(total))
 
 
+def test_many_words_at_once_equal_single_words():
+    rng = random.Random(5)
+    pieces = lattice_lm.Pieces.weighted(*lattice_lm.read_pieces(PIECES))
+    words = ["".join(rng.choice("etaonéñ日x1\x1c") for _ in range(rng.choice([1, 2, 3, 8, 15, 41, 60]))) for _ in range(120)] + ["the", "the"]
+    lattice = lattice_lm.Lattice(pieces)
+    assert lattice.log_probabilities(words) == pytest.approx([lattice_lm.word_log_probability(w, pieces, pieces.longest()) for w in words])
+    want, got = (Counter(), Counter()), (Counter(), Counter())
+    for w in words:
+        lattice_lm._uses(w, pieces, pieces.longest(), *want)
+    lattice.uses(words, *got)
+    for a, b in zip(want, got, strict=True):
+        assert all(a[k] == pytest.approx(b[k], abs=1e-3) for k in {*a, *b})
+    assert lattice.log_probabilities([]).tolist() == []
+
+
 def test_scores_and_base(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["the", "of", "Nation", f"w{rng.randint(0, 40)}", f"u{i}x{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 60)))) for i in range(200)]
