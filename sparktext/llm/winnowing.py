@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from sparktext.llm.common import identified, parallelism
 
 # A unit of text: up to eight characters without a blank, counted from the start of a word.
-UNIT = r"\S{1,8}"
+UNIT_CHARS = 8
+UNIT = rf"\S{{1,{UNIT_CHARS}}}"
+# A unit at every character; the match itself is one character long.
+EVERY_UNIT = rf"(?=({UNIT}))\S"
+STEP_BITS = 4
 LAST = (1 << 31) - 1
 FIRST_KEY = -(1 << 63)
 # Ranges are dealt to tasks by hash; several for each even the tasks out.
@@ -23,14 +27,67 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _packed(value: Column, place: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(value, 32), 31).bitwiseOR((F.lit(LAST) - place).cast("bigint"))
+
+
+def _minima(hashes: Column, window: int) -> Column:
+    if window == 1:
+        return hashes
+    n = F.greatest(F.size(hashes) - (window - 1), F.least(F.size(hashes), F.lit(1)))
+    least = F.transform(F.slice(hashes, F.lit(1), n), lambda h, i: F.least(h, *[F.get(hashes, i + j) for j in range(1, window)]))
+    return F.array_distinct(least)
+
+
+def selected_everywhere(text: Column, gram: int = 3, window: int = 4) -> Column:
+    """As ``selected``, with a unit at every character of each blank-free run longer than a unit.
+
+    A run of up to UNIT_CHARS characters is one unit. In a longer one a unit starts at every
+    character and has UNIT_CHARS characters, or what is left of the run. A gram is a unit and the
+    ``gram`` - 1 that follow end to start, so inside a long run it is gram * UNIT_CHARS characters,
+    taken at every character. ``window`` counts places where grams start, and a place is the number
+    of such places before it. Two texts that share gram * UNIT_CHARS + window - 1 characters inside
+    long runs, at whatever offsets, or any gram + window - 1 units of whole runs, select a gram in
+    both. A text without a whole gram has one of all its units.
+    """
+
+    def packed_unit(unit: Column, step: Column) -> Column:
+        return F.shiftleft(F.xxhash64(unit), STEP_BITS).bitwiseOR(step.cast("bigint"))
+
+    def units_of(run: Column) -> Column:
+        every = F.transform(F.regexp_extract_all(run, F.lit(EVERY_UNIT), F.lit(1)), lambda unit: packed_unit(unit, F.char_length(unit)))
+        return F.when(F.char_length(run) > UNIT_CHARS, every).otherwise(F.array(packed_unit(run, F.lit(1))))
+
+    def next_of(unit: Column, i: Column) -> Column:
+        return i + unit.bitwiseAND(F.lit((1 << STEP_BITS) - 1).cast("bigint")).cast("int")
+
+    def longer(units: Column, left: int, grams: Column) -> Column:
+        if left == 0:
+            return grams
+        # NULL once the text ends inside the gram; such places come last.
+        step = F.transform(units, lambda u, i: _let(F.get(grams, next_of(u, i)), lambda g: F.when(g.isNotNull(), F.xxhash64(F.shiftright(u, STEP_BITS), g))))
+        return _let(step, lambda g: longer(units, left - 1, g))
+
+    def picked(units: Column) -> Column:
+        first = F.transform(units, lambda u: F.shiftright(u, STEP_BITS))
+        whole = _let(first, lambda g: F.filter(longer(units, gram - 1, g), lambda h: h.isNotNull()))
+        short = F.when(F.size(units) > 0, F.array(F.xxhash64(units))).otherwise(F.array().cast("array<bigint>"))
+        hashes = _let(whole, lambda g: F.transform(F.when(F.size(g) > 0, g).otherwise(short), lambda h, i: _packed(h, i)))
+        return _let(hashes, lambda h: _minima(h, window))
+
+    runs = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return _let(F.flatten(F.transform(runs, units_of)), picked)
+
+
 def selected(text: Column, gram: int = 3, window: int = 4) -> Column:
     """array<long> of the selected grams of a text in order: hash in the high 32 bits, place below.
 
     A gram is ``gram`` units in a row (all units of a shorter text); its hash is taken at every
     place. From every ``window`` grams in a row (all grams of a shorter text) the smallest hash is
     selected, the rightmost one among equals. So any gram + window - 1 units in a row that two
-    texts share select a gram in both, and no shared stretch below ``gram`` units is seen. The
-    place is stored as its distance from 2**31 - 1, which makes the plain minimum the rightmost.
+    texts share select a gram in both, and no shared stretch below ``gram`` units is seen. Units
+    are counted from the start of a run without blanks: a stretch shared inside runs at offsets that differ
+    by anything but a multiple of UNIT_CHARS is seen by ``selected_everywhere`` alone. The place is stored as its distance from 2**31 - 1, which makes the plain minimum the rightmost.
     NULL gives NULL, a text without units an empty array.
     """
 
@@ -38,17 +95,11 @@ def selected(text: Column, gram: int = 3, window: int = 4) -> Column:
         n = F.greatest(F.size(units) - (gram - 1), F.least(F.size(units), F.lit(1)))
         return F.transform(
             F.slice(units, F.lit(1), n),
-            lambda unit, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(unit, *[F.get(units, i + j) for j in range(1, gram)]), 32), 31)
-            .bitwiseOR((F.lit(LAST) - i).cast("bigint")),
+            lambda unit, i: _packed(F.xxhash64(unit, *[F.get(units, i + j) for j in range(1, gram)]), i),
         )
 
-    def minima(hashes: Column) -> Column:
-        n = F.greatest(F.size(hashes) - (window - 1), F.least(F.size(hashes), F.lit(1)))
-        least = F.transform(F.slice(hashes, F.lit(1), n), lambda h, i: F.least(h, *[F.get(hashes, i + j) for j in range(1, window)]))
-        return F.array_distinct(least)
-
     units = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda unit: F.xxhash64(unit))
-    return _let(units, lambda u: _let(grams(u), minima))
+    return _let(units, lambda u: _let(grams(u), lambda h: _minima(h, window)))
 
 
 def hash_of(packed: Column) -> Column:
@@ -77,10 +128,13 @@ def likeness(left: Column, right: Column) -> Column:
     return _let(F.struct(hashes(left).alias("l"), hashes(right).alias("r")), share)
 
 
-def fingerprints(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint array<struct<hash, place>>) of whole texts; NULL counts as empty. No shuffle."""
+def fingerprints(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str = "doc_id", text_col: str = "text", select: Callable[..., Column] = selected) -> DataFrame:
+    """(doc_id, fingerprint array<struct<hash, place>>) of whole texts; NULL counts as empty. No shuffle.
+
+    ``select`` is ``selected`` or ``selected_everywhere``, which ``compare_edited`` uses.
+    """
     own = identified(docs, id_col, text_col)
-    picked = selected(F.col("text"), gram, window)
+    picked = select(F.col("text"), gram, window)
     return own.select("doc_id", F.transform(picked, lambda p: F.struct(hash_of(p).alias("hash"), place_of(p).cast("int").alias("place"))).alias("fingerprint"))
 
 
@@ -126,7 +180,7 @@ def compare_edited(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str
     without units has an empty fingerprint. Texts are shuffled once, by range of the id.
     """
     dealt = in_ranges(docs, id_col, text_col).repartition("range")
-    picked = dealt.withColumn("picked", selected(F.col("text"), gram, window))
+    picked = dealt.withColumn("picked", selected_everywhere(F.col("text"), gram, window))
     along = W.partitionBy("range").orderBy("guest", "key", "text_hash")
     follows = picked.select("*", F.lead(F.struct("text", "picked")).over(along).alias("next")).where(~F.col("guest"))
     n_chars = F.char_length("text")
@@ -138,7 +192,7 @@ def compare_edited(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str
         n_chars.cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "picked",
-        selected(F.col("edited"), gram, window).alias("edited_picked"),
+        selected_everywhere(F.col("edited"), gram, window).alias("edited_picked"),
         F.col("next.picked").alias("next_picked"),
     )
     return both.select(

@@ -74,3 +74,68 @@ def test_single_row_null_id_and_empty_table(spark):
     one = winnowing.compare_edited(spark.createDataFrame([(None, "abcdefgh")], "doc_id bigint, text string")).collect()
     assert [(r.doc_id, r.edited_sha256, r.near_next) for r in one] == [(None, hashlib.sha256(b"abcdefab").hexdigest(), 1.0)]
     assert winnowing.compare_edited(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def everywhere(text, k=3):
+    """Whole grams in order, as tuples of units."""
+    units = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        units += [(run, 1)] if len(run) <= 8 else [(run[i : i + 8], len(run[i : i + 8])) for i in range(len(run))]
+    grams = []
+    for i in range(len(units)):
+        at, parts = i, []
+        while at < len(units) and len(parts) < k:
+            parts.append(units[at][0])
+            at += units[at][1]
+        if len(parts) == k:
+            grams.append(tuple(parts))
+    return grams
+
+
+def test_places_and_windows_at_every_character(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abc文é𝄞") for _ in range(rng.choice([1, 3, 8, 9, 17, 60]))) for _ in range(n)) for n in (0, 1, 2, 3, 7, 20)] + ["x" * 24, "x" * 23, "abcdefghi j"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    wide = {r.doc_id: r.fingerprint for r in winnowing.fingerprints(docs, window=1, select=winnowing.selected_everywhere).collect()}
+    got = {r.doc_id: [(p["place"], p["hash"]) for p in r.fingerprint] for r in winnowing.fingerprints(docs, select=winnowing.selected_everywhere).collect()}
+    by_gram = {}
+    for i, text in enumerate(texts):
+        grams = everywhere(text)
+        hashes = [p["hash"] for p in wide[i]]
+        assert [p["place"] for p in wide[i]] == list(range(max(len(grams), min(len(text), 1))))
+        for g, h in zip(grams, hashes, strict=len(grams) > 0):
+            assert by_gram.setdefault(g, h) == h
+        out = []
+        for at in range(max(len(hashes) - 3, min(len(hashes), 1))):
+            part = hashes[at : at + 4]
+            one = at + max(j for j, h in enumerate(part) if h == min(part))
+            out += [(one, hashes[one])] if (one, hashes[one]) not in out else []
+        assert got[i] == out
+    assert len(set(by_gram.values())) == len(by_gram)
+
+
+def test_unspaced_stretches_are_seen_at_any_offset(spark):
+    rng = random.Random(5)
+    run = lambda n: "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(n))
+    shared = run(27)
+    texts = [run(40 + i) + shared + run(rng.randint(0, 50)) for i in range(16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [{p["hash"] for p in r.fingerprint} for r in winnowing.fingerprints(docs, select=winnowing.selected_everywhere).collect()]
+    assert all(a & b for a in sets for b in sets)
+    # The query's own table: a passage of 1,000 characters, shifted by 3.
+    long = run(1000)
+    pair = spark.createDataFrame([(1, long), (2, "abc" + long)], "doc_id bigint, text string")
+    assert all(r.near_next > 0.9 for r in winnowing.compare_edited(pair).collect())
+    # A text shorter than a gram is told from others by all its units.
+    odd = winnowing.fingerprints(spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id bigint, text string"), select=winnowing.selected_everywhere).collect()
+    assert odd[0].fingerprint != odd[1].fingerprint
+
+
+def test_shared_words_are_seen_everywhere(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 5, 8, 11, 20])))
+    shared = " ".join(word() for _ in range(6))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 20))) + f" {shared} " + " ".join(word() for _ in range(rng.randint(0, 20))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [{p["hash"] for p in r.fingerprint} for r in winnowing.fingerprints(docs, select=winnowing.selected_everywhere).collect()]
+    assert all(a & b for a in sets for b in sets)
