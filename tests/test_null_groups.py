@@ -113,3 +113,18 @@ def test_text_labels_area_and_chosen_point(spark):
     area = {r["split"]: r["f1"] for r in out if r["class"] == "roc_auc"}
     assert area["test"] == pytest.approx(1.0)
     assert '"C": ' in out[0]["params"]
+
+
+def test_unseen_and_missing_text_labels_are_counted(spark):
+    data = [(i, f"{'alpha beta' if i % 2 else 'gamma delta'} word{i % 5}", "odd" if i % 2 else "even") for i in range(60)]
+    data += [(100 + i, "alpha beta", label) for i, label in enumerate(["rare", "rare", "also", None, None, None])] + [(-1, "alpha beta", None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, label string")
+    config = {"embeddings": {"type": "tfidf", "params": {}}, "model": {"classifier": "LogisticRegression", "params": {}}}
+    out = experiment.run_experiment(spark, config, df.where("doc_id < 40"), test=df.where("doc_id >= 40")).collect()
+    got = {(r["split"], r["class"]): r for r in out}
+    assert got["test", "accuracy"]["support"] == 23 and got["test", "accuracy"]["f1"] == pytest.approx(20 / 23)
+    assert {c: got["test", c]["support"] for c in "0123"} == {"0": 10, "1": 10, "2": 1, "3": 2}
+    assert got["test", "1"]["precision"] == pytest.approx(10 / 13) and got["test", "3"]["recall"] == 0
+    assert got["test", "roc_auc"]["support"] == 23 and got["test", "roc_auc"]["f1"] < 1
+    assert got["test", "unlabelled"]["support"] == 3 and got["train", "unlabelled"]["support"] == 1
+    assert got["train", "accuracy"]["support"] == 40
