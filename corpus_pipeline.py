@@ -7,6 +7,7 @@ row that repeats an id and a text is dropped by the dedup stages.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, padding, batch, slot."""
-    lengths = length_buckets.word_lengths(identified(docs))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lengths = length_buckets.token_lengths(identified(docs), str(path))
     return length_buckets.pack(lengths, buckets=16, token_budget=65_536).drop("text_hash")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparktext.llm.bpe import vocabulary
 from sparktext.llm.common import stored
 
 # Documents of one length that one task numbers; longer lists are cut into slices by id hash.
@@ -27,6 +28,24 @@ def word_lengths(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_words, "doc_id bigint, text_hash bigint, n_tokens bigint")
 
 
+def _tokens(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(path)
+        for batch in batches:
+            counts = [len(known.encode(text).split()) + 1 for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
+
+    return run
+
+
+def token_lengths(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text_hash, n_tokens) of identified documents: encoded tokens plus one end token.
+
+    ``path`` names a vocabulary's JSON file, as in ``bpe.encode``.
+    """
+    return docs.mapInArrow(_tokens(path), "doc_id bigint, text_hash bigint, n_tokens bigint")
+
+
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of at most ``buckets`` buckets with the least padding in all.
 

@@ -78,7 +78,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_length_buckets")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = length_buckets.word_lengths(identified(table(spark, sf_dir, "documents")))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lengths = length_buckets.token_lengths(identified(table(spark, sf_dir, "documents")), str(path))
     packed = length_buckets.pack(lengths, buckets=16, token_budget=65_536)
     return packed.drop("text_hash")
 

@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import public_tokenizers
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from sparktext.llm import queries
+from sparktext.llm import bpe, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +78,18 @@ def test_queries_equal_their_sql(spark, name):
     columns = [c[0] for c in con.description]
     got = [tuple(r) for r in queries.QUERIES[name](spark, SF).select(*columns).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_batches_hold_encoded_tokens(spark, tmp_path):
+    known = bpe.Vocabulary(str(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdef0123456789") for _ in range(40_000)) for _ in range(6)] + ["two words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op7(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        rows = out.collect()
+        assert {r.doc_id: r.n_tokens for r in rows} == {i: len(known.encode(t or "").split()) + 1 for i, t in enumerate(texts)}
+        batches = {}
+        for r in rows:
+            batches.setdefault((r.bucket, r.batch), []).append(r.bucket_length)
+        assert all(sum(b) <= 65_536 for b in batches.values())
