@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktext.llm import exact_dedup, jaccard_join, length_buckets, mil_quality, suffix_dedup
-from sparktext.llm.common import identified, keep_documents, stored, table, with_decisions
+from sparktext.llm.common import identified, keep_documents, scoped, stored, table, with_decisions
 from sparktext.llm.queries import QUALITY_AT_LEAST
 
 # Bytes of a repeated passage; fifty words of prose have more, about 310.
@@ -67,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scoped(spark):  # what a stage has set aside goes when its result is written
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

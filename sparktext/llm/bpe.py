@@ -13,10 +13,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sparktext.llm.common import identified
+from sparktext.llm.common import identified, slices
 
 # Words remembered per Python worker; beyond that the memory is emptied and filled again.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -55,6 +55,22 @@ def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list
     return [s for s in symbols if s]
 
 
+class _Counts(dict):
+    """Number of ids of each word met, filled on demand."""
+
+    def __init__(self, encode_word):
+        super().__init__()
+        self.encode_word = encode_word
+
+    def __missing__(self, word: str) -> int:
+        n = len(self.encode_word(word))
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary with word ends, read from a tokenizer's JSON file.
 
@@ -80,6 +96,7 @@ class Vocabulary:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes = byte_symbols()
         self.words: dict[str, str] = {}
+        self.counts = _Counts(self.encode_word)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a normalised stretch without blanks."""
@@ -95,9 +112,18 @@ class Vocabulary:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return [w for w in self.SPACE.split(text) if w] if self.ODD.search(text) else text.split()
 
+    def parts(self, text: str) -> list[str]:
+        """Stretches of text and added tokens in turn."""
+        return self.specials.split(text) if any(a in text for a in self.added) else [text]
+
+    def count(self, text: str) -> int:
+        """Number of ids of a text."""
+        parts = self.parts(text)
+        return len(parts) // 2 + sum(sum(map(self.counts.__getitem__, self.words_of(part))) for part in parts[::2])
+
     def encode(self, text: str) -> str:
         """Ids of a text, in decimal, joined by one space."""
-        parts = self.specials.split(text) if self.specials else [text]
+        parts = self.parts(text)
         known, out = self.words, []
         for i, part in enumerate(parts):
             if i % 2:
@@ -129,7 +155,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         names = {str(i): s for i, s in known.strings.items()}
-        for batch in batches:
+        for batch in slices(batches):
             ids = [known.encode(text) for text in batch.column("text").to_pylist()]
             lists = [x.split() for x in ids]
             decoded = [" ".join([names[i] for i in x]) for x in lists]
@@ -147,7 +173,7 @@ def _encoded(path: str):
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [[int(i) for i in known.encode(text).split()] for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -8,12 +8,23 @@ same result, rows with the same id and another text are other documents.
 from __future__ import annotations
 
 import atexit
+import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktext.session import parallelism, scratch_path
 
-__all__ = ["identified", "keep_documents", "parallelism", "same_document", "stored", "table", "with_decisions"]
+__all__ = ["identified", "keep_documents", "parallelism", "same_document", "scoped", "slices", "stored", "table", "with_decisions"]
+
+# Bytes of text that a Python worker turns into objects at once.
+SLICE_BYTES = 4 << 20
+_STORED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +52,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _STORED.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scoped(spark: SparkSession):
+    """Removes the tables that ``stored`` has written inside the block, but the last one, the block's result."""
+    before = len(_STORED)
+    yield
+    for path in _STORED[before:-1]:
+        _remove(spark, path)
+    del _STORED[before:]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about ``most`` bytes of ``column``, one row at least.
+
+    When a task ends, freed memory goes back to the system: the worker lives on for other stages.
+    """
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(upto):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+    release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # not every C library has it
+        trim(0)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jsc = spark.sparkContext._jsc
     if jsc is not None and not jsc.sc().isStopped():

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktext.llm.common import identified, parallelism, stored
+from sparktext.llm.common import identified, parallelism, release_memory, slices, stored
 from sparktext.llm.words import shingles
 
 # Texts sampled for the shingles that many texts have, and how many of those are set apart.
@@ -29,7 +29,13 @@ SAMPLE = 2_000
 COMMON = 4_096
 COMMON_SHARE = 0.01
 # Shingles a task gathers before it deals them out.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
+# Distinct sets that a task remembers as dealt; one met again later is dealt again, and counted once.
+REMEMBERED = 100_000
+# Bytes of text behind one part of the shingles.
+PART_BYTES = 64 << 20
+# Passes over a part, each counting its share of the shingles.
+PASSES = 8
 # Members of a region that one task joins; a larger region is joined in slices.
 REGION = 5_000
 PIVOTS = 8
@@ -44,15 +50,14 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _common_tokens(docs: DataFrame, words: int) -> np.ndarray:
+def _common_tokens(docs: DataFrame, words: int, rows: int) -> np.ndarray:
     """Shingles found in at least one in a hundred texts of a bounded sample, at most COMMON. Which
     ones they are changes the amount of work only, not the result."""
-    rows = docs.count()
     share = min(1.0, SAMPLE / max(1, rows))
     sample = docs.where(F.pmod(F.xxhash64("text_hash", F.lit("common")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, words).astype(np.int64) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["token"])
 
@@ -105,12 +110,14 @@ def _deal(parts: int, words: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         ids, sets, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, words) for t in batch.column("text").to_pylist()]
             names = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
             yield doc_rows(batch, names, found)
             for name, own in zip(names, found, strict=True):
                 if len(own) and name not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(name)
                     ids.append(name)
                     sets.append(own)
@@ -139,25 +146,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.filter(pc.invert(batch.column("is_doc")))
         for row in zip(*[lists.column(c).to_pylist() for c in ("n", "tokens", "owners", "sizes", "counts")], strict=True):
             blocks[bool(row[0])].append(row[1:])
-    for apart, rows in blocks.items():
+    for apart in (True, False):
+        rows = blocks.pop(apart)
         if not rows:
             continue
         tokens, sizes, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, "u8"), (2, "i4"), (3, "i4")))
         owners, first, block = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "V16"), return_index=True, return_inverse=True)
+        rows.clear()
         keep = np.zeros(len(block), bool)
         keep[first] = True  # a set that several tasks have met counts once
         keep = np.repeat(keep, counts)
-        tokens, owner = tokens[keep], np.repeat(block, counts)[keep]
-        if apart:
-            often = np.full(len(tokens), OFTEN, "i4")
-        else:
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-            times = np.diff(np.append(starts, len(tokens)))
+        owner = np.repeat(block.astype("i4"), counts)
+        found = []
+        for step in range(PASSES):  # equal shingles are in one pass
+            at = np.flatnonzero(keep & (tokens >> np.uint64(56) & np.uint64(PASSES - 1) == step))
+            own, of = tokens[at], owner[at]
+            if apart:
+                found.append((own, of, np.full(len(own), OFTEN, "i4")))
+                continue
+            order = np.argsort(own)
+            own, of = own[order], of[order]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(own)))
             often = np.repeat(times, times).astype("i4")
             some = often > 1
-            tokens, owner, often = tokens[some], owner[some], often[some]
+            found.append((own[some], of[some], often[some]))
+        tokens, owner, often = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
         order = np.argsort(owner, kind="stable")
         tokens, owner, often = tokens[order].astype(np.int64), owner[order], often[order]
         own, starts = np.unique(owner, return_index=True)
@@ -166,6 +181,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x.tobytes() for x in owners[own]], pa.binary()), pa.array(sizes[first[own]])]
         columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tokens, often)]
         yield pa.RecordBatch.from_arrays(columns, names)
+    release_memory()
 
 
 class Region:
@@ -353,8 +369,9 @@ def linked_components(docs: DataFrame, percent: int = 80, words: int = 5, id_col
     than ``words`` are one shingle. NULL ids are ignored as component_id unless a component has no other.
     """
     own = identified(docs, id_col, text_col)
-    parts = parallelism(docs.sparkSession)
-    dealt = own.mapInArrow(_deal(parts, words, _common_tokens(own, words)), DEALT)
+    size = own.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(parallelism(docs.sparkSession), (size["bytes"] or 0) // PART_BYTES)
+    dealt = own.mapInArrow(_deal(parts, words, _common_tokens(own, words, size["rows"])), DEALT)
     found = stored(dealt.repartitionById(parts, F.col("part")).mapInArrow(_shared, SHARED), "shared-shingles")
     members = found.where("is_doc").select("doc_id", "text_hash", "set_id", "n")
     lists = found.where("NOT is_doc").select("set_id", "n", "tokens", "often")

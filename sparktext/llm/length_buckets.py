@@ -11,14 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktext.llm.bpe import vocabulary
-from sparktext.llm.common import stored
+from sparktext.llm.common import slices, stored
 
 # Documents of one length that one task numbers; longer lists are cut into slices by id hash.
 SLICE_ROWS = 50_000
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         counts = [len(text.encode().split()) + 1 for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
 
@@ -31,8 +31,8 @@ def word_lengths(docs: DataFrame) -> DataFrame:
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        for batch in batches:
-            counts = [len(known.encode(text).split()) + 1 for text in batch.column("text").to_pylist()]
+        for batch in slices(batches):
+            counts = [known.count(text) + 1 for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
 
     return run

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktext.llm.common import identified
+from sparktext.llm.common import identified, slices
 from sparktext.llm.words import LOWER, mixed, word_bounds, word_hashes
 
 PASSAGE_WORDS = 64
@@ -151,7 +150,7 @@ def held_out(id_col: str, folds: int = 5, fold: int = 0) -> Column:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [passages(text).astype("f4") for text in batch.column("text").to_pylist()]
         columns = [batch.column("doc_id"), batch.column("label"), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "n", "features"])
@@ -187,7 +186,7 @@ def _scores(model: Model):
             yield float(value), best, float(weights[i + best])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bags, held, rows = [], 0, []
             for text in batch.column("text").to_pylist():
                 bags.append(passages(text))
@@ -206,10 +205,11 @@ def _scores(model: Model):
 def score_column(model: Model, text: Column) -> Column:
     """Score of a text as a column, for filters that keep all other columns as they are."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text_hash", "text"])
-        return pd.Series([x for out in _scores(model)([batch]) for x in out.column("score").to_pylist()], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        at = pa.array(np.arange(len(texts)))
+        batch = pa.RecordBatch.from_arrays([at, at, texts], ["doc_id", "text_hash", "text"])
+        return pa.concat_arrays([pa.array([], pa.float64()), *[out.column("score") for out in _scores(model)([batch])]])
 
     return scored(F.coalesce(text, F.lit("")))
 

@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktext.llm.common import identified, same_document, stored
+from sparktext.llm.common import identified, same_document, slices, stored
 from sparktext.llm.words import BASE, MIX, mixed, powers
 
 GRAM = 32
@@ -83,7 +82,7 @@ def _segments(length: int):
     """A row per distinct segment of a document, with all places where it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, found = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 own = segments(np.frombuffer(text.encode(), np.uint8), length)
@@ -325,7 +324,7 @@ def kept_bytes(raw: bytes, windows: list[dict], length: int) -> tuple[np.ndarray
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist(), strict=True):
                 raw = text.encode()
@@ -352,9 +351,13 @@ def windows_by_document(docs: DataFrame, length: int = 400, id_col: str = "doc_i
 def cut_column(text: Column, windows: Column, length: int) -> Column:
     """The text without its repeated strings; a character cut apart goes with them."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or w is None else kept_bytes(t.encode(), list(w), length)[1].decode(errors="ignore") for t, w in zip(texts, found, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for batch in slices([pa.RecordBatch.from_arrays([texts, found], ["text", "windows"])]):
+            rows = zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist(), strict=True)
+            out += [t if t is None or w is None else kept_bytes(t.encode(), w, length)[1].decode(errors="ignore") for t, w in rows]
+        return pa.array(out, pa.string())
 
     return cut(text, windows)
 

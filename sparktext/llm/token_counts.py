@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparktext.llm.common import slices, stored
+
 # Rows of the histogram that one window handles; blocks of it are offset by a second, small window.
 BLOCK = 4096
 
@@ -27,7 +29,7 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 def _lengths(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, seen = _encoding(path, pattern), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen[len(encoding.encode_ordinary(text))] += 1
         rows = [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())]
@@ -41,11 +43,12 @@ def length_histogram(docs: DataFrame, path: str, pattern: str, text_col: str = "
 
     ``path`` names a rank file and ``pattern`` the split pattern of a byte-level vocabulary; the file
     must be at that path on every executor. Each task counts its own documents first, so that at
-    most one row per task and length is shuffled. A NULL or empty text has length 0.
+    most one row per task and length is shuffled; the histogram is stored, as its readers would encode
+    the texts anew. A NULL or empty text has length 0; a long text is encoded in one piece.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = texts.mapInArrow(_lengths(path, pattern), "n_tokens bigint, docs bigint")
-    return counted.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    return stored(counted.groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "token-lengths")
 
 
 def context_limits(histogram: DataFrame, length: str = "n_tokens", count: str = "docs") -> DataFrame:

@@ -12,18 +12,22 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+# Powers that a worker keeps; those of longer texts are made for one text and go with it.
+KEPT_POWERS = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(BASE, -1, 1 << 64)
-        for name, base in (("up", BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    if len(_POWERS["up"]) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = {}
+    for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps, dtype=np.uint64)
+    if n <= KEPT_POWERS:
+        _POWERS.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
