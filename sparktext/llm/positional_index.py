@@ -152,6 +152,8 @@ def _lookup(w: Windows, slack: int):
         text, start = text[at], start[at] - firsts[text[at]]
         order = np.lexsort((start, length, owner, text))
         text, start, owner, length = (x[order] for x in (text, start, owner, length))
+        if not len(text):
+            return out
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (length[1:] != length[:-1])
         for i, j in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(text)), strict=True):
