@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.functions.text import let
+from sparktext.llm.common import stored
 
 # All orders of the filters are listed: eight have 40,320.
 MOST_FILTERS = 8
@@ -137,7 +138,8 @@ def document_cells(docs: DataFrame, labels: DataFrame, part_col: str = "source",
     labelled = joined.select("_key", "_named", "doc_id", "digest", "part", "mask", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")])
     by_id = labelled.groupBy("_key", "_named", "doc_id", *kinds).agg(F.count(F.lit(1)).alias("k"))
     least = F.min(F.when(~no_id, F.struct(F.col("doc_id").alias("id"), F.col("k").alias("k"))))
-    by_kind = by_id.groupBy(*kinds).agg(F.sum("k").alias("n"), F.sum(F.when(no_id, F.col("k")).otherwise(0)).alias("free"), least.alias("least"))
+    counted = by_id.groupBy(*kinds).agg(F.sum("k").alias("n"), F.sum(F.when(no_id, F.col("k")).otherwise(0)).alias("free"), least.alias("least"))
+    by_kind = stored(counted, "texts-by-part")  # read twice; the texts are not
     first = by_kind.groupBy("digest").agg(F.min("least.id").alias("first_id"))
     placed = by_kind.join(first, "digest")
     stay = F.col("free") + F.when(F.col("least.id") == F.col("first_id"), F.col("least.k")).otherwise(0)
