@@ -47,13 +47,9 @@ def rbf_svm(spark, sf):
     return _predictions(spark, sf, "SVM")
 
 
-# Boosting here fits ten one-vs-rest ensembles, a Spark job per level of every tree: twenty rounds, not a hundred.
-BOOSTING = {"n_estimators": 20, "max_depth": 3}
-
-
 @query("c3_gradient_boosted_trees")
 def gradient_boosted_trees(spark, sf):
-    return _predictions(spark, sf, "XGBClassifier", BOOSTING)
+    return _predictions(spark, sf, "XGBClassifier")
 
 
 @query("c4_random_forest")
@@ -96,15 +92,16 @@ def scaled_classifier(spark, sf):
 
 @query("c8_grid_search")
 def grid_search(spark, sf):
-    found = classify.grid_search(_vectors(spark, sf), "LogisticRegression", {"C": [0.5, 0.7, 0.9, 1], "tol": [1e-3, 1e-4]}, folds=5, key="vec_id")
+    found = classify.grid_search(_vectors(spark, sf), "LogisticRegression", folds=5, key="vec_id")
     points = [(i, float(m)) for i, m in enumerate(found.avgMetrics)]
     return spark.createDataFrame(points, "point int, accuracy double")
 
 
 @query("c9_tuning_with_held_out_split")
 def tuning_with_held_out_split(spark, sf):
-    _, accuracy = classify.tune(_vectors(spark, sf), "RandomForest", {"max_depth": [3, 5, 7], "n_estimators": [50, 100]}, folds=3, key="vec_id")
-    return spark.createDataFrame([(float(accuracy),)], "held_out_accuracy double")
+    found, accuracy = classify.tune(_vectors(spark, sf), folds=3, key="vec_id")
+    points = [(i, *(float(p[c]) for c in ("learning_rate", "max_depth", "n_estimators")), float(m), float(accuracy)) for i, (p, m) in enumerate(found.points)]
+    return spark.createDataFrame(points, "point int, learning_rate double, max_depth double, n_estimators double, accuracy double, held_out_accuracy double")
 
 
 @query("c10_c11_predictions_with_probabilities")
@@ -147,7 +144,7 @@ def text_and_position_features(spark, sf):
 @query("e7_training_curve")
 def training_curve(spark, sf):
     df = _vectors(spark, sf)
-    boosted = classify.make_classifier("XGBClassifier", df.count(), BOOSTING).fit(df)
+    boosted = classify.make_classifier("XGBClassifier", df.count()).fit(df)
     return classify.training_curve(boosted, df)
 
 

@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 
 from sparktext.functions.arrays import one_hot
 from sparktext.operators.sampling import stratified_folds, train_test_split
+from sparktext.plans import grids
+from sparktext.plans.boosting import BoostedTrees, BoostingOptions, SoftmaxBoosting
 
 # Accepted classifier names, and the tuning grids by name.
 ALIASES = {"xgboost": "XGBClassifier", "logistic_regression": "LogisticRegression", "svm": "SVM"}
@@ -130,11 +131,8 @@ def make_classifier(name: str, n_rows: int, params: Mapping | None = None, n_fea
             stages.append(FourierMap(p.get("gamma", "scale"), p.get("n_components", 256), source))
             source = "mapped"
     elif name == "XGBClassifier":
-        model = OneVsRest(
-            classifier=GBTClassifier(
-                maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), minInfoGain=p.get("gamma", 0.0), seed=42
-            ),
-            parallelism=4,
+        model = SoftmaxBoosting(
+            BoostingOptions(p.get("n_estimators", 100), p.get("max_depth", 3), p.get("learning_rate", 0.1), p.get("gamma", 0.0))
         )
     elif name == "RandomForest":
         model = RandomForestClassifier(
@@ -190,14 +188,32 @@ def grid_search(df: DataFrame, name: str, options: Mapping[str, Sequence] | None
 
     ``df`` (key, label, features) is a training set that MLlib can hold in the cluster's memory.
     Returns the model of the best point, fitted on all rows, with ``points`` (a list of parameters
-    and mean accuracy, in grid order), ``best_point`` and ``avgMetrics``. Points are fitted ``parallelism``
-    at a time. An unknown option raises.
+    and mean accuracy, in grid order), ``best_point`` and ``avgMetrics``. Logistic points share their passes
+    over the data, boosted ones are trained on a bounded sample (see ``grids``); points of other
+    classifiers are fitted ``parallelism`` at a time. An unknown option raises.
     """
     n = df.count()
     options = dict(options if options is not None else GRIDS[ALIASES.get(name, name)])
     points = [{**(params or {}), **dict(zip(options, values, strict=True))} for values in product(*options.values())]
     for point in points:
         _checked(name, point)
+    kind = ALIASES.get(name, name)
+    plain = not any(p.get("normalize") for p in points)
+    if plain and kind == "LogisticRegression":
+        scores = grids.logistic_points(df, points, folds, key)
+    elif plain and kind == "XGBClassifier":
+        scores = grids.boosted_points(df, points, folds, key)
+    else:
+        scores = _fitted_points(df, name, points, folds, key, parallelism, n, n_features, n_classes)
+    best = int(np.argmax(scores))
+    model = make_classifier(name, n, points[best], n_features, n_classes).fit(df)
+    model.avgMetrics, model.best_point = scores, points[best]
+    model.points = list(zip(points, scores, strict=True))
+    return model
+
+
+def _fitted_points(df: DataFrame, name: str, points: Sequence[dict], folds: int, key: str, parallelism: int, n: int, n_features: int, n_classes: int) -> list[float]:
+    """Mean held-out accuracy of every point, each fitted by itself on every fold."""
     folded = stratified_folds(df, folds, "label", key).persist()
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
 
@@ -210,14 +226,9 @@ def grid_search(df: DataFrame, name: str, options: Mapping[str, Sequence] | None
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(accuracy, points))
+            return list(pool.map(accuracy, points))
     finally:
         folded.unpersist()
-    best = int(np.argmax(scores))
-    model = make_classifier(name, n, points[best], n_features, n_classes).fit(df)
-    model.avgMetrics, model.best_point = scores, points[best]
-    model.points = list(zip(points, scores, strict=True))
-    return model
 
 
 def tune(df: DataFrame, name: str = "XGBClassifier", options: Mapping[str, Sequence] | None = None, folds: int = 3, key: str = "doc_id"):
@@ -229,17 +240,19 @@ def tune(df: DataFrame, name: str = "XGBClassifier", options: Mapping[str, Seque
 
 
 def training_curve(model: Model, df: DataFrame) -> DataFrame:
-    """(class, round, loss): per boosting round on ``df``, or per iteration of the optimiser."""
+    """(class, round, loss): per boosting round on ``df``, or per iteration of the optimiser. Class -1 stands
+    for a loss of all classes together."""
     spark = df.sparkSession
-    model = model.stages[-1] if hasattr(model, "stages") else model
+    if hasattr(model, "stages"):
+        for stage in model.stages[:-1]:
+            df = stage.transform(df)
+        model = model.stages[-1]
+    if isinstance(model, BoostedTrees):
+        return model.staged_losses(df)
     rows: list[tuple[int, int, float]] = []
     if hasattr(model, "models"):
         for c, part in enumerate(model.models):
-            if hasattr(part, "evaluateEachIteration"):
-                binary = df.withColumn(part.getLabelCol(), (F.col("label") == c).cast("double"))
-                rows += [(c, i + 1, float(x)) for i, x in enumerate(part.evaluateEachIteration(binary))]
-            else:
-                rows += [(c, i, float(x)) for i, x in enumerate(part.summary().objectiveHistory)]
+            rows += [(c, i, float(x)) for i, x in enumerate(part.summary().objectiveHistory)]
     else:
         rows += [(-1, i, float(x)) for i, x in enumerate(model.summary.objectiveHistory)]
     return spark.createDataFrame(rows, "class int, round int, loss double")
