@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.functions import arrays, text
-from sparktext.operators import vectors, wordvec
+from sparktext.operators import embedding, vectors, wordvec
 from sparktext.operators.ranking import ranked_table
 from sparktext.plans.catalog.registry import documents, query
 from sparktext.session import materialize
@@ -170,27 +170,49 @@ def unknown_word_vectors(spark, sf):
     return entries(out, "word", F.col("vector"))
 
 
-_TRAINED = wordvec.WordVectorOptions(vector_size=32)
+# Small blocks, so that small tables are trained by several tasks too, and half of the default epochs.
+_TRAINED = embedding.TrainingOptions(epochs=10, block_words=50_000)
 
 
 def _short_docs(spark, sf):
     return documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
 
 
+def _extra_texts(spark, sf):
+    return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lower("text").alias("text"))
+
+
 @query("t10_trained_word_vectors")
 def trained_word_vectors(spark, sf):
-    return wordvec.vector_table(wordvec.train_word_vectors(_short_docs(spark, sf), _TRAINED))
+    return embedding.train(_short_docs(spark, sf), _TRAINED).word_vectors()
+
+
+@query("t10b_skip_gram_on_one_machine")
+def skip_gram_on_one_machine(spark, sf):
+    options = wordvec.WordVectorOptions(max_vocab_size=20_000)
+    return wordvec.vector_table(wordvec.train_word_vectors(_short_docs(spark, sf), options))
+
+
+@query("t11b_unknown_words_from_trained_grams")
+def unknown_words_from_trained_grams(spark, sf):
+    model = embedding.train(_short_docs(spark, sf), _TRAINED)
+    words = _extra_texts(spark, sf).select(text.each(text.words("text")).alias("word")).distinct()
+    return model.unknown_word_vectors(words.join(model.vocabulary, "word", "left_anti"))
 
 
 @query("t13_t14_paragraph_vectors")
 def paragraph_vectors(spark, sf):
     df = _short_docs(spark, sf)
-    return wordvec.infer_paragraph_vectors(df, wordvec.train_paragraph_vectors(df, _TRAINED, dm=1))
+    return embedding.train(df, _TRAINED, "dm").infer(df)
 
 
-@query("t15_continued_training")
-def continued_training(spark, sf):
-    more = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lower("text").alias("text"))
-    return wordvec.vector_table(wordvec.continue_training(_short_docs(spark, sf), more, _TRAINED))
+@query("t13b_t14b_bag_of_words_paragraphs")
+def bag_of_words_paragraphs(spark, sf):
+    df = _short_docs(spark, sf)
+    return embedding.train(df, _TRAINED, "dbow").infer(_extra_texts(spark, sf))
 
 
+@query("t15_continued_training")
+def continued_training(spark, sf):
+    base = embedding.train(_short_docs(spark, sf), _TRAINED)
+    return embedding.train(_extra_texts(spark, sf), _TRAINED, base=base).word_vectors()
