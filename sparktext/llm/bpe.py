@@ -15,8 +15,12 @@ from pyspark.sql import DataFrame
 
 from sparktext.llm.common import identified, slices
 
-# Words remembered per Python worker; beyond that the memory is emptied and filled again.
-REMEMBERED = 150_000
+# Words remembered per Python worker, with their ids or with the number of them; beyond that the memory
+# is emptied and filled again.
+REMEMBERED = 400_000
+COUNTED = 300_000
+# Symbols up to which looking for the least rank anew is quicker than a queue.
+SHORT = 24
 
 
 def byte_symbols() -> list[str]:
@@ -55,17 +59,35 @@ def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list
     return [s for s in symbols if s]
 
 
+def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
+    """Number of symbols left by ``merge_symbols``. The ranks of a short list are searched in place."""
+    if len(symbols) > SHORT:
+        return len(merge_symbols(symbols, ranks))
+    never = len(ranks)
+    rank = ranks.get
+    left = [rank(pair, never) for pair in zip(symbols, symbols[1:])]  # noqa: B905
+    while left and (least := min(left)) < never:
+        i = left.index(least)
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        del left[i]
+        if i:
+            left[i - 1] = rank((symbols[i - 1], symbols[i]), never)
+        if i < len(left):
+            left[i] = rank((symbols[i], symbols[i + 1]), never)
+    return len(symbols)
+
+
 class _Counts(dict):
     """Number of ids of each word met, filled on demand."""
 
-    def __init__(self, encode_word):
+    def __init__(self, count_word):
         super().__init__()
-        self.encode_word = encode_word
+        self.count_word = count_word
 
     def __missing__(self, word: str) -> int:
-        n = len(self.encode_word(word))
+        n = self.count_word(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= COUNTED:
                 self.clear()
             self[word] = n
         return n
@@ -93,10 +115,12 @@ class Vocabulary:
         self.strings = {i: s for s, i in [*self.ids.items(), *self.added.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
+        # Whether the pattern keeps a stretch of letters in one piece, as the usual ones do.
+        self.letters_whole = self.pieces.findall("abßñ日ʰ") == ["abßñ日ʰ"]
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes = byte_symbols()
         self.words: dict[str, str] = {}
-        self.counts = _Counts(self.encode_word)
+        self.counts = _Counts(self.count_word)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a normalised stretch without blanks."""
@@ -107,6 +131,15 @@ class Vocabulary:
             out += [self.ids[s] for s in merge_symbols(symbols, self.ranks)]
         return out
 
+    def count_word(self, word: str) -> int:
+        """Number of ids of a normalised stretch without blanks."""
+        n = 0
+        for piece in [word] if self.letters_whole and word.isalpha() else self.pieces.findall(word):
+            symbols = [self.bytes[b] for b in piece.encode()]
+            symbols[-1] += self.end
+            n += merged_count(symbols, self.ranks)
+        return n
+
     def words_of(self, text: str) -> list[str]:
         # The lower case of each character by itself: no word-final form of sigma.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()

@@ -112,3 +112,12 @@ def test_missing_lengths_and_empty_table(spark):
     assert got[1].bucket is None and got[1].batch is None
     assert (got[2].bucket_length, got[2].padding, got[2].batch, got[2].slot) == (4, 0, 0, 0)
     assert length_buckets.pack(rows.limit(0)).collect() == []
+
+
+def test_counts_equal_encoded_lengths():
+    known = bpe.Vocabulary(str(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(3)
+    texts = ["", "Hello  world's", "a<|endoftext|>b", "ab" * 500, "日本語のテキスト", "\x1c x"]
+    texts += ["".join(rng.choice("abcdefgh iéß'1") for _ in range(rng.randint(1, 400))) for _ in range(300)]
+    for text in texts:
+        assert known.count(text) == len(known.encode(text).split())
