@@ -68,12 +68,12 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     left = [rank(pair, never) for pair in zip(symbols, symbols[1:])]  # noqa: B905
     while left and (least := min(left)) < never:
         i = left.index(least)
-        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        joined = symbols[i] = symbols[i] + symbols.pop(i + 1)
         del left[i]
         if i:
-            left[i - 1] = rank((symbols[i - 1], symbols[i]), never)
+            left[i - 1] = rank((symbols[i - 1], joined), never)
         if i < len(left):
-            left[i] = rank((symbols[i], symbols[i + 1]), never)
+            left[i] = rank((joined, symbols[i + 1]), never)
     return len(symbols)
 
 
@@ -133,8 +133,13 @@ class Vocabulary:
 
     def count_word(self, word: str) -> int:
         """Number of ids of a normalised stretch without blanks."""
+        if self.letters_whole and word.isalpha():
+            # The symbol of an ASCII letter's byte is the letter.
+            symbols = list(word) if word.isascii() else [self.bytes[b] for b in word.encode()]
+            symbols[-1] += self.end
+            return merged_count(symbols, self.ranks)
         n = 0
-        for piece in [word] if self.letters_whole and word.isalpha() else self.pieces.findall(word):
+        for piece in self.pieces.findall(word):
             symbols = [self.bytes[b] for b in piece.encode()]
             symbols[-1] += self.end
             n += merged_count(symbols, self.ranks)
