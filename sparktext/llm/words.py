@@ -48,6 +48,25 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+# First bytes of characters from U+3000 to U+9FFF (kana, Han): scripts written without blanks.
+UNSPACED = np.zeros(256, bool)
+UNSPACED[0xE3:0xEA] = True
+
+
+def unspaced_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_bounds``, but every character from U+3000 to U+9FFF is a word by itself."""
+    own = UNSPACED[raw]
+    if not own.any():
+        return word_bounds(raw)
+    inside = ~BLANK[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | own[1:]
+    first[3:] |= inside[3:] & own[:-3]  # such a character has three bytes
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of words, equal for equal bytes wherever they stand."""
     if not len(starts):

@@ -64,6 +64,18 @@ def test_stages_on_an_empty_table(spark, folder):
         assert stage(spark, docs, path).collect() == []
 
 
+def test_passages_are_measured_in_words(spark):
+    rng = random.Random(3)
+    short = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(2)) for _ in range(n))
+    long = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(12)) for _ in range(n))
+    passage, below = short(51), long(50)
+    texts = [f"{long(20)} {passage} {long(20)}" for _ in range(3)] + [f"{long(20)} {below} {long(20)}" for _ in range(2)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r for r in corpus_pipeline.passages(spark, docs, SF).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].text == t.replace(passage, "") and got[i].n_chars == len(got[i].text)
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert {f"op{i}" for i in range(1, 11)} <= {n.partition("_")[0] for n in names} and "pipeline" in names

@@ -1,6 +1,7 @@
 """Repeated strings against brute force over all windows."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -64,3 +65,43 @@ def test_empty_table_and_short_length(spark):
     assert suffix_dedup.remove_repeated(empty).collect() == []
     with pytest.raises(ValueError, match="length"):
         suffix_dedup.repeated_strings(empty, length=10)
+
+
+WORD = re.compile(r"[\u3000-\u9fff]|[^\x20\x09-\x0d\u3000-\u9fff]+")
+
+
+def brute_words(texts, length):
+    found = [list(WORD.finditer(t or "")) for t in texts]
+    words = [[m.group() for m in f] for f in found]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for t, f, w in zip(texts, found, words, strict=True):
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        kept, at = "", 0
+        for i, m in enumerate(f):
+            if gone[i]:
+                kept += (t or "")[at : m.start()] if not (i and gone[i - 1]) else ""
+                at = m.end()
+        out.append(kept + (t or "")[at:])
+    return out
+
+
+def word_corpus(seed):
+    rng = random.Random(seed)
+    glue = lambda ws: "".join(w + rng.choice([" ", " ", "\n", "  "]) for w in ws)
+    word = lambda: rng.choice(["a", "bé", "to", "of", "漢字", "x漢y", "it", "カナ", "we", "no"])
+    shared = [[word() for _ in range(rng.randint(10, 60))] for _ in range(6)]
+    texts = [glue([word() for _ in range(rng.randint(0, 30))] + rng.choice(shared)[rng.randint(0, 5) :] + [word() for _ in range(rng.randint(0, 30))]) for _ in range(60)]
+    return [*texts, "a " * 80, "", None, "  ", texts[4], texts[4], "漢" * 30, "漢字" * 30, "one"]
+
+
+@pytest.mark.parametrize(("seed", "key_segments"), [(1, 50_000), (2, 3), (3, 1)])
+def test_repeated_words_equal_brute_force(spark, seed, key_segments):
+    texts = word_corpus(seed)
+    docs = spark.createDataFrame([(i, t, 1, "extra") for i, t in enumerate(texts)], SCHEMA)
+    windows = {r.doc_id: r.windows for r in suffix_dedup.windows_by_document(docs, 14, unit="words", key_segments=key_segments).collect()}
+    got = [suffix_dedup.kept_bytes((t or "").encode(), windows[i], 14, "words")[1].decode() if i in windows else t or "" for i, t in enumerate(texts)]
+    assert got == brute_words(texts, 14)
