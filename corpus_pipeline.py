@@ -15,8 +15,8 @@ from sparktext.llm import exact_dedup, jaccard_join, length_buckets, mil_quality
 from sparktext.llm.common import identified, keep_documents, scoped, stored, table, with_decisions
 from sparktext.llm.queries import QUALITY_AT_LEAST
 
-# Bytes of a repeated passage; fifty words of prose have more, about 310.
-PASSAGE_BYTES = 240
+# A passage that goes when it is repeated has more than fifty words.
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages found in more than one place go, in all their copies; every document stays."""
-    found = suffix_dedup.windows_by_document(docs, length=PASSAGE_BYTES)
+    """Passages of PASSAGE_WORDS words or more found in more than one place go, in all their copies; every
+    document stays. Words are compared as they stand, whatever blanks are between them; a character of a
+    script without blanks counts as a word."""
+    found = suffix_dedup.windows_by_document(docs, length=PASSAGE_WORDS, unit="words")
     joined = with_decisions(docs, found.hint("shuffle_hash"))
-    cut = joined.withColumn("_cut", suffix_dedup.cut_column(F.col("d.text"), F.col("k.windows"), PASSAGE_BYTES))
+    cut = joined.withColumn("_cut", suffix_dedup.cut_column(F.col("d.text"), F.col("k.windows"), PASSAGE_WORDS, "words"))
     changed = F.col("k.windows").isNotNull()
     new = {"text": F.when(changed, F.col("_cut")).otherwise(F.col("d.text")), "n_chars": F.when(changed, F.char_length("_cut").cast("bigint")).otherwise(F.col("d.n_chars"))}
     return cut.select(*[new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns])
