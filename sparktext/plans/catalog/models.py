@@ -47,6 +47,14 @@ def rbf_svm(spark, sf):
     return _predictions(spark, sf, "SVM")
 
 
+@query("c2b_kernel_svm_with_probabilities")
+def kernel_svm_with_probabilities(spark, sf):
+    df = materialize(train_test_split(_vectors(spark, sf), 0.2, "vec_id"))
+    train = df.where("split = 'train'")
+    model = classify.make_classifier("SVM", train.count(), {"kernel_map": "nystroem", "probability": True}).fit(train)
+    return classify.predict_probabilities(model, df, "vec_id", ["label", "split"])
+
+
 @query("c3_gradient_boosted_trees")
 def gradient_boosted_trees(spark, sf):
     return _predictions(spark, sf, "XGBClassifier")
