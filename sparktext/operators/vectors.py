@@ -114,6 +114,35 @@ def encode_texts(
     return mean_pool(encoded, "embedding", dim, [key])
 
 
+def encode_batches(
+    df: DataFrame,
+    make_encoder: Callable[[], Encoder],
+    dim: int,
+    column: str = "text",
+    key: str = "doc_id",
+    batch_size: int = 64,
+) -> DataFrame:
+    """``encode_texts`` as a batch inference column: the encoder stays in its worker from one task to the next.
+
+    Pieces of a partition are sorted by length, so the texts of a batch have about the same length and a
+    padding encoder pads little.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    def make():
+        encoder = make_encoder()
+        return lambda texts: np.asarray(encoder(list(texts)), dtype=float)
+
+    run = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    pieces = df.select(key, F.explode(text.pieces(F.coalesce(F.col(column), F.lit("")))).alias("_piece"))
+    by_length = pieces.withColumn("_length", F.char_length("_piece")).sortWithinPartitions("_length")
+    encoded = by_length.withColumn("embedding", run("_piece"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    filled = encoded.select(key, F.when(F.col("_length") == 0, zero).otherwise(F.col("embedding")).alias("embedding"))
+    return mean_pool(filled, "embedding", dim, [key])
+
+
 def principal_components(df: DataFrame, vector: str, dim: int, k: int = 3, key: str = "doc_id") -> DataFrame:
     """Project centred vectors on the first ``k`` principal components."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktext.plans.saving import Parts, Saved
 from sparktext.session import materialize, parallelism
 
 # Bytes of binned features in one block; rounds after which the margins of all rows are stored anew.
@@ -366,13 +367,23 @@ class SoftmaxBoosting(Estimator):
         return float(loss["gain"] / loss["left_h"]), tuple(best[c].to_numpy() for c in best.columns[1:])
 
 
-class BoostedTrees(Model):
+class BoostedTrees(Model, Saved):
     """Adds ``probability`` (a vector) and ``prediction``, the first class with the largest margin."""
 
     def __init__(self, trees: Trees, features_col: str = "features", label_col: str = "label"):
         super().__init__()
         self.trees, self.features_col, self.label_col = trees, features_col, label_col
 
+    def parts(self) -> Parts:
+        t = self.trees
+        arrays = {"feature": t.feature, "threshold": t.threshold, "value": t.value, "losses": np.array(t.losses, float)}
+        return Parts({"features_col": self.features_col, "label_col": self.label_col}, arrays)
+
+    @classmethod
+    def of_parts(cls, parts: Parts) -> BoostedTrees:
+        a = parts.arrays
+        return cls(Trees(a["feature"], a["threshold"], a["value"], a["losses"].tolist()), **parts.settings)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         trees = self.trees
 

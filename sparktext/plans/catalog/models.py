@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from sparktext.functions import arrays, text
 from sparktext.operators import bayes, tfidf
 from sparktext.operators.sampling import train_test_split, with_positions
-from sparktext.plans import annotate, classify, experiment
+from sparktext.plans import annotate, classify, experiment, saving
 from sparktext.plans.catalog.registry import corpus, query
 from sparktext.plans.catalog.vectorising import SQL_TFIDF, options
 from sparktext.plans.catalog.weighting import model as category_model
-from sparktext.session import materialize
+from sparktext.session import materialize, scratch_path
 from sparktext.sources.readers import read_table
 from sparktext.sources.vectors import as_vectors
 
@@ -173,3 +173,27 @@ def experiment_report(spark, sf):
     return experiment.run_experiment(spark, config, split.where("split = 'train'"), test=split.where("split = 'test'"))
 
 
+@query("x4_saved_experiment")
+def saved_experiment(spark, sf):
+    """Fitted on four fifths of the rows, saved, loaded and applied to all of them."""
+    df = corpus(spark, sf)
+    config = {
+        "experiment_name": "language",
+        "dataset": {"label_column": "label_text"},
+        "embeddings": {"type": "tfidf", "params": {}, "pre_process": {"remove_stopwords": False}},
+        "model": {"classifier": "LogisticRegression", "params": {"C": 1.0}},
+    }
+    path = scratch_path(spark, "experiment")
+    experiment.fit_experiment(config, train_test_split(df).where("split = 'train'")).save(path)
+    return saving.load(spark, path).transform(df.select("doc_id", "text"))
+
+
+@query("x5_encoder_experiment")
+def encoder_experiment(spark, sf):
+    split = train_test_split(corpus(spark, sf))
+    config = {
+        "experiment_name": "language",
+        "embeddings": {"type": "encoder", "params": {"encoder": "hashing", "dim": 256, "truncate_dim": 128, "quantization": "int8"}},
+        "model": {"classifier": "LogisticRegression", "params": {"C": 1.0}},
+    }
+    return experiment.run_experiment(spark, config, split.where("split = 'train'"), test=split.where("split = 'test'"))

@@ -29,6 +29,7 @@ from sparktext.operators.sampling import stratified_folds, train_test_split
 from sparktext.plans import grids
 from sparktext.plans.boosting import BoostedTrees, BoostingOptions, SoftmaxBoosting
 from sparktext.plans.kernel import CalibratedSVM, CalibratedSVMModel, NystroemMap
+from sparktext.plans.saving import Parts, Saved
 
 # Accepted classifier names, and the tuning grids by name.
 ALIASES = {"xgboost": "XGBClassifier", "logistic_regression": "LogisticRegression", "svm": "SVM"}
@@ -87,11 +88,18 @@ class FourierMap(Estimator):
         return FittedFourierMap(1.0 / dim if gamma == "auto" else float(gamma), dim, self.components, self.source, self.seed)
 
 
-class FittedFourierMap(Model):
+class FittedFourierMap(Model, Saved):
     def __init__(self, gamma: float, dim: int, components: int, source: str, seed: int):
         super().__init__()
         self.gamma, self.dim, self.components, self.source, self.seed = gamma, dim, components, source, seed
 
+    def parts(self) -> Parts:
+        return Parts({"gamma": self.gamma, "dim": self.dim, "components": self.components, "source": self.source, "seed": self.seed})
+
+    @classmethod
+    def of_parts(cls, parts: Parts) -> FittedFourierMap:
+        return cls(**parts.settings)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         wide = dataset.withColumn("_dense", vector_to_array(self.source))
         out = random_fourier_features(wide, "_dense", self.dim, self.components, self.gamma, self.seed, "_mapped")

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktext.plans.saving import Parts, Saved
 from sparktext.session import materialize
 
 # One row in so many is held out to calibrate on.
@@ -74,13 +75,20 @@ class NystroemMap(Estimator):
         return FittedNystroem(gamma, points, axes[:, held] / np.sqrt(values[held]), self.source)
 
 
-class FittedNystroem(Model):
+class FittedNystroem(Model, Saved):
     """A NULL vector gives a NULL ``mapped``."""
 
     def __init__(self, gamma: float, points: np.ndarray, axes: np.ndarray, source: str = "features"):
         super().__init__()
         self.gamma, self.points, self.axes, self.source = gamma, points, axes, source
 
+    def parts(self) -> Parts:
+        return Parts({"gamma": float(self.gamma), "source": self.source}, {"points": self.points, "axes": self.axes})
+
+    @classmethod
+    def of_parts(cls, parts: Parts) -> FittedNystroem:
+        return cls(**parts.settings, **parts.arrays)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         gamma, points, axes = self.gamma, self.points, self.axes
 
@@ -187,13 +195,20 @@ class CalibratedSVM(Estimator):
         return CalibratedSVMModel(*self._machines(rows, classes), curves, self.features_col)
 
 
-class CalibratedSVMModel(Model):
+class CalibratedSVMModel(Model, Saved):
     """Adds ``probability`` (a vector that sums to one) and ``prediction``."""
 
     def __init__(self, weights: np.ndarray, offsets: np.ndarray, curves: np.ndarray, features_col: str = "features"):
         super().__init__()
         self.weights, self.offsets, self.curves, self.features_col = weights, offsets, curves, features_col
 
+    def parts(self) -> Parts:
+        return Parts({"features_col": self.features_col}, {"weights": self.weights, "offsets": self.offsets, "curves": self.curves})
+
+    @classmethod
+    def of_parts(cls, parts: Parts) -> CalibratedSVMModel:
+        return cls(**parts.settings, **parts.arrays)
+
     def margins(self):
         weights, offsets = self.weights, self.offsets
 

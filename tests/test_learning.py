@@ -139,6 +139,36 @@ def test_annotation(spark, corpus, annotator):
     assert {"initial_class", "initial_confidence", "consensus", "high_confidence", "avg_confidence"} <= set(out.columns)
 
 
+def test_annotation_moves_the_documents_once(annotator, corpus):
+    annotator.annotate(corpus.limit(1).select("doc_id", "text")).collect()  # stores the lookup table
+    plan = annotator.annotate(corpus.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "doc_id" in plan.split("Exchange hashpartitioning")[1][:20]
+
+
+def test_annotation_weights_equal_the_single_operators(spark, corpus, annotator):
+    docs = corpus.select("doc_id", "text").limit(30)
+    rows = materialize(annotator.model.tfidf.transform(docs))
+
+    def classified(weights):
+        terms = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("terms"))
+        return classify.predict_probabilities(annotator.classifier, as_vectors(terms, annotator.model.tfidf.size))
+
+    first = materialize(classified(rows))
+    chances = first.select("doc_id", F.map_from_arrays(F.sequence(F.lit(0), F.size("probabilities") - 1), "probabilities").alias("probabilities"))
+    cf = annotator.model.cf
+    single = {
+        "hard": classified(catfreq.weight_hard(rows, first, cf)),
+        "prob": classified(catfreq.weight_probabilistic(rows, chances, cf)),
+        "maxcf": classified(catfreq.weight_max(rows, cf)),
+    }
+    got = {r["doc_id"]: r for r in annotator.annotate(docs.withColumn("weight", F.lit(1)).withColumn("features", F.lit(2))).collect()}
+    assert all(r["weight"] == 1 and r["features"] == 2 for r in got.values())
+    for name, df in single.items():
+        for r in df.collect():
+            assert got[r["doc_id"]][f"predicted_class_{name}"] == r["prediction"]
+            assert abs(got[r["doc_id"]][f"confidence_{name}"] - r["confidence"]) < 1e-9
+
+
 def test_streamed_annotation_equals_batch(spark, corpus, annotator, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     docs = corpus.select("doc_id", "text")
