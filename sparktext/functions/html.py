@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)\s*>"
 ANY_TAG = r"(?s)</?[a-zA-Z!][^>]*>"
 REFERENCE = r"(&[a-zA-Z][a-zA-Z0-9]{1,31};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
 MARK = "\u0000"
+BUCKETS = 64
 
 
 def _numeric(part: Column) -> Column:
@@ -40,12 +42,19 @@ def _numeric(part: Column) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """Decode named and numeric references in one pass; unknown ones stay as written."""
-    # A map is searched from its start: the common names have a short one of their own.
+    # A map is searched from its start: the common names have a short one of their own, the others
+    # are dealt to BUCKETS short maps by a checksum.
     common = F.create_map(*[F.lit(x) for pair in (*ENTITIES, ("&amp;", "&")) for x in pair])
-    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    dealt = [[("", "")] for _ in range(BUCKETS)]
+    for pair in NAMED.items():
+        dealt[crc32(pair[0].encode()) % BUCKETS].append(pair)
+    names = F.array(*[F.create_map(*[F.lit(x) for pair in own for x in pair]) for own in dealt])
+
+    def rare(part: Column) -> Column:
+        return F.try_element_at(F.get(names, F.pmod(F.crc32(part), F.lit(BUCKETS)).cast("int")), part)
 
     def decoded(part: Column) -> Column:
-        return F.when(part.startswith("&#"), _numeric(part)).otherwise(F.coalesce(F.try_element_at(common, part), F.try_element_at(names, part), part))
+        return F.when(part.startswith("&#"), _numeric(part)).otherwise(F.coalesce(F.try_element_at(common, part), rare(part), part))
 
     def split(value: Column) -> Column:
         parts = F.split(F.regexp_replace(value, REFERENCE, f"{MARK}$1{MARK}"), MARK)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktext.operators.joins import lookup
-from sparktext.operators.tfidf import TermOptions, TfidfModel, doc_terms, fitted, normalize_rows
+from sparktext.operators.tfidf import TermOptions, TfidfModel, doc_terms, fitted_terms, normalize_rows
 from sparktext.session import materialize
 
 # Fixed value: weight of a (class, term) pair never seen together.
@@ -24,7 +24,11 @@ UNSEEN_CF = 1e-6
 
 def category_frequency(counts: DataFrame, class_sizes: DataFrame, label: str = "label") -> DataFrame:
     """(label, term, cf) from a long table (doc, label, term, tf) with one row per doc and term."""
-    pairs = counts.groupBy(label, "term").agg(F.count(F.lit(1)).alias("docs"))
+    return shares(counts.groupBy(label, "term").agg(F.count(F.lit(1)).alias("docs")), class_sizes, label)
+
+
+def shares(pairs: DataFrame, class_sizes: DataFrame, label: str = "label") -> DataFrame:
+    """``category_frequency`` from counted pairs (label, term, docs)."""
     sized = lookup(pairs, class_sizes, [label], spread_on="term")
     return sized.select(label, "term", (F.col("docs") / F.col("class_docs")).alias("cf"))
 
@@ -77,11 +81,13 @@ def fit_category_model(
     label: str = "label",
     key: str = "doc_id",
 ) -> CategoryModel:
+    """One pass over the texts: documents and occurrences are counted per (class, term) and stored; the
+    vocabulary and the category frequencies both come from these counts."""
     counts = doc_terms(df, options, column, key, [label])
-    tfidf = fitted(counts, df, options)
-    terms = tfidf.vocabulary.select("term", "df")
-    known = lookup(counts, terms, ["term"], spread_on=key, table_bytes=tfidf.table_bytes, frequency="df")
-    return CategoryModel(tfidf, materialize(category_frequency(known, class_sizes(df, label), label)), label)
+    pairs = materialize(counts.groupBy(label, "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("tf")))
+    tfidf = fitted_terms(pairs.groupBy("term").agg(F.sum("docs").alias("df"), F.sum("tf").alias("corpus_count")), df, options)
+    known = lookup(pairs, tfidf.vocabulary.select("term"), ["term"], spread_on=label, table_bytes=tfidf.table_bytes)
+    return CategoryModel(tfidf, materialize(shares(known, class_sizes(df, label), label)), label)
 
 
 def weight_by_inverse_cf(rows: DataFrame, icf: DataFrame, key: str = "doc_id") -> DataFrame:

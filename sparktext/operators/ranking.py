@@ -163,8 +163,45 @@ def hash_key(*cols: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), *[F.col(c).cast("string") for c in cols]))
 
 
-def _hash_range(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("int")
+# Stands for the hash of a NULL id; sorts before every hash.
+NO_ID = "-" * 32
+
+
+def _places(key: str, seed: int) -> Column:
+    return F.coalesce(hash_key(key, seed=seed), F.lit(NO_ID))
+
+
+def hash_cuts(df: DataFrame, key: str, take: Callable[[DataFrame], DataFrame], groups: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Stored table with one row per group: ``_cut``, and ``_tie`` with ``_left``.
+
+    The wanted rows are those whose hash is at most ``_cut``, plus any ``_left`` of the rows that share the hash
+    ``_tie`` (NULL unless ids repeat just there). Hash prefixes are counted first; only the one prefix that holds
+    the last wanted row (one millionth of the rows) is looked at hash by hash.
+    """
+    groups = list(groups)
+    known = df.where(" AND ".join(f"`{g}` IS NOT NULL" for g in groups)) if groups else df
+    hashes = materialize(known.select(*groups, _places(key, seed).alias("_hash")))
+    prefix = F.substring("_hash", 1, HASH_DIGITS)
+    hist = hashes.groupBy(*groups, prefix.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = take(hist.groupBy(*groups).agg(F.sum("_n").alias("total")))
+    upto = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cum = hist.withColumn("_upto", F.sum("_n").over(upto))
+    wanted = totals.select(*groups, F.col("take").cast("bigint").alias("_take"))
+    joined = cum.join(wanted, groups, "inner") if groups else cum.crossJoin(F.broadcast(wanted))
+    left = (F.col("_take") - F.col("_upto") + F.col("_n")).alias("left")
+    edges = joined.groupBy(*groups).agg(F.min(F.when(F.col("_upto") > F.col("_take"), F.struct("_range", left))).alias("_edge"))
+    edges = materialize(edges)
+    marked = lookup(hashes, edges, groups, spread_on="_hash") if groups else hashes.crossJoin(F.broadcast(edges))
+    near = marked.where((prefix == F.col("_edge._range")) & (F.col("_edge.left") > 0))
+    counted = near.groupBy(*groups, "_hash").agg(F.count(F.lit(1)).alias("_n"), F.first("_edge.left").alias("_want"))
+    inside = W.partitionBy(*groups).orderBy("_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranks = counted.withColumn("_upto", F.sum("_n").over(inside))
+    tie = F.min(F.when((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")), F.struct("_hash", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("left"))))
+    found = ranks.groupBy(*groups).agg(F.max(F.when(F.col("_upto") <= F.col("_want"), F.col("_hash"))).alias("_last"), tie.alias("_t"))
+    both = edges.join(found, groups, "left") if groups else edges.crossJoin(F.broadcast(found))
+    # Past every hash if all rows are wanted; the bare prefix, below the hashes that start with it, if none of them is.
+    cut = F.when(F.col("_edge").isNull(), F.lit("g")).otherwise(F.coalesce("_last", "_edge._range"))
+    return materialize(both.select(*groups, cut.alias("_cut"), F.col("_t._hash").alias("_tie"), F.col("_t.left").alias("_left")))
 
 
 def hash_split(
@@ -177,30 +214,22 @@ def hash_split(
 ) -> DataFrame:
     """Flag, per group, exactly the ``take`` rows that come first in hash order.
 
-    ``take`` gets a table (groups..., total) and adds a column ``take``. Hash prefixes are
-    counted; every prefix but the one holding the last taken row is decided by comparison
-    alone. Only that one prefix (one millionth of the rows) is sorted. Rows of a NULL group are left out.
+    ``take`` gets a table (groups..., total) and adds a column ``take``. The cut hash of each group is found on
+    the hashes alone; then a comparison per row decides, so the input is evaluated once after that. Only if
+    ids repeat just at a cut are the rows of that id told apart by a sort. Rows of a NULL group are left out; NULL
+    ids come first.
     """
     groups = list(groups)
-    h = df.withColumn("_hash", hash_key(key, seed=seed)).withColumn("_range", _hash_range(F.col("_hash")))
-    hist = h.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    totals = take(hist.groupBy(*groups).agg(F.sum("_n").alias("total")))
-    upto = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = hist.withColumn("_upto", F.sum("_n").over(upto))
-    wanted = totals.select(*groups, F.col("take").cast("bigint").alias("_take"))
-    joined = cum.join(wanted, groups, "inner") if groups else cum.crossJoin(F.broadcast(wanted))
-    left = (F.col("_take") - F.col("_upto") + F.col("_n")).alias("left")
-    cuts = joined.groupBy(*groups).agg(
-        F.max(F.when(F.col("_upto") <= F.col("_take"), F.col("_range"))).alias("_last_full"),
-        F.min(F.when(F.col("_upto") > F.col("_take"), F.struct("_range", left))).alias("_edge"),
-    )
-    marked = lookup(h, cuts, groups, spread_on=key) if groups else h.crossJoin(F.broadcast(cuts))
-    is_edge = F.coalesce((F.col("_range") == F.col("_edge._range")) & (F.col("_edge.left") > 0), F.lit(False))
-    full = F.coalesce(F.col("_range") <= F.col("_last_full"), F.lit(False))
-    sure = marked.where(~is_edge).select(*df.columns, full.alias(flag))
-    order = W.partitionBy(*groups, "_range").orderBy("_hash", key)
-    edge = marked.where(is_edge).select(*df.columns, (F.row_number().over(order) <= F.col("_edge.left")).alias(flag))
-    return sure.unionByName(edge)
+    cuts = hash_cuts(df, key, take, groups, seed)
+    placed = df.withColumn("_hash", _places(key, seed))
+    marked = lookup(placed, cuts, groups, spread_on=key) if groups else placed.crossJoin(F.broadcast(cuts))
+    full = F.col("_hash") <= F.col("_cut")
+    if cuts.where("_tie IS NOT NULL").isEmpty():
+        return marked.select(*df.columns, full.alias(flag))
+    tied = F.col("_hash").eqNullSafe(F.col("_tie"))
+    sure = marked.where(~tied).select(*df.columns, full.alias(flag))
+    order = W.partitionBy(*groups, "_hash").orderBy(F.xxhash64(*df.columns))
+    return sure.unionByName(marked.where(tied).select(*df.columns, (F.row_number().over(order) <= F.col("_left")).alias(flag)))
 
 
 def carry_forward(df: DataFrame, order: str, value: str, output: str) -> DataFrame:

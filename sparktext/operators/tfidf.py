@@ -78,6 +78,11 @@ def build_vocabulary(counts: DataFrame, n_docs: DataFrame, options: TermOptions)
     terms = counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_count")
     )
+    return chosen_terms(terms, n_docs, options)
+
+
+def chosen_terms(terms: DataFrame, n_docs: DataFrame, options: TermOptions) -> DataFrame:
+    """``build_vocabulary`` from counted terms (term, df, corpus_count)."""
     sized = terms.crossJoin(F.broadcast(n_docs))
     n = F.col("n_docs")
     kept = sized.where((F.col("df") >= _bound(options.min_df, n)) & (F.col("df") <= _bound(options.max_df, n)))
@@ -178,8 +183,12 @@ def fit_tfidf(df: DataFrame, options: TermOptions = TermOptions(), column: str =
 
 
 def fitted(counts: DataFrame, df: DataFrame, options: TermOptions) -> TfidfModel:
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    table = materialize(build_vocabulary(counts, n_docs, options))
+    return fitted_terms(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_count")), df, options)
+
+
+def fitted_terms(terms: DataFrame, df: DataFrame, options: TermOptions) -> TfidfModel:
+    """Model of counted terms (term, df, corpus_count) of the documents ``df``."""
+    table = materialize(chosen_terms(terms, df.agg(F.count(F.lit(1)).alias("n_docs")), options))
     return TfidfModel(table, options, *measure(table))
 
 
@@ -235,13 +244,13 @@ def padded_sequences(
     ids = ranked_table(vocabulary.withColumn("_order", minus), "_order").select(
         "token", (F.col("row_number") + 1).cast("int").alias("token_id")
     )
-    places = df.select(key, text.each(F.slice(tokens, 1, length), position=True).alias("pos", "token"))
+    # A row without a token keeps its document, so it need not be joined back.
+    placed = F.transform(F.slice(tokens, 1, length), lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token")))
+    empty = F.array().cast("array<struct<pos:int,token:string>>")
+    places = df.select(key, F.explode(F.concat(F.coalesce(placed, empty), marker)).alias("_p")).select(key, "_p.pos", "_p.token")
     known = lookup(places, ids, ["token"], "left", spread_on=key)
-    seq = known.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))).alias("_s")
-    )
-    filled = F.concat(
-        F.transform(F.coalesce("_s", F.array().cast("array<struct<pos:int,id:int>>")), lambda e: e["id"]),
-        F.array_repeat(F.lit(0), length),
-    )
-    return df.select(key).join(seq, key, "left").select(key, F.slice(filled, 1, length).alias("sequence"))
+    entry = F.when(F.col("pos") >= 0, F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))
+    seq = known.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+    filled = F.concat(F.transform("_s", lambda e: e["id"]), F.array_repeat(F.lit(0), length))
+    return seq.select(key, F.slice(filled, 1, length).alias("sequence"))

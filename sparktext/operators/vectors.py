@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.functions import arrays, text
+from sparktext.operators.joins import lookup, measure
 
 
 def mean_pool(df: DataFrame, vector: str, dim: int, groups: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -56,10 +57,16 @@ def quantization_fan_out(df: DataFrame, vector: str, key: str, dims: Sequence[in
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, vector: str, key: str) -> DataFrame:
-    """Cosine similarity and binary cosine distance of explicit pairs (left_id, right_id)."""
+    """Cosine similarity and binary cosine distance of explicit pairs (left_id, right_id).
+
+    An id may be in any share of the pairs: the vectors are broadcast if they are small, else ids of many pairs
+    are spread over several tasks.
+    """
     a = vectors.select(F.col(key).alias("left_id"), F.col(vector).alias("_a"))
     b = vectors.select(F.col(key).alias("right_id"), F.col(vector).alias("_b"))
-    joined = pairs.join(a, "left_id").join(b, "right_id")
+    size = measure(a)[1]
+    half = lookup(pairs, a, ["left_id"], spread_on="right_id", table_bytes=size)
+    joined = lookup(half, b, ["right_id"], spread_on="left_id", table_bytes=size)
     return joined.select(
         "left_id",
         "right_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktext.functions import arrays, text
-from sparktext.operators import embedding, vectors, wordvec
+from sparktext.operators import components, embedding, tfidf, vectors, wordvec
 from sparktext.operators.ranking import ranked_table
 from sparktext.plans.catalog.registry import documents, query
 from sparktext.session import materialize
@@ -112,6 +112,14 @@ def principal_components(spark, sf):
     return vectors.principal_components(_embeddings(spark, sf), "embedding", DIM, 3, "vec_id")
 
 
+@query("t25b_sparse_components")
+def sparse_components(spark, sf):
+    """The first ten components of TF-IDF over the whole vocabulary."""
+    df = documents(spark, sf)
+    rows = materialize(tfidf.fit_tfidf(df, tfidf.TermOptions()).transform(df))
+    return components.fit_components(df, rows, 10).transform(df, rows)
+
+
 @query("t16_encoded_documents")
 def encoded_documents(spark, sf):
     return vectors.encode_texts(documents(spark, sf), lambda: vectors.hashing_encoder(DIM), DIM)

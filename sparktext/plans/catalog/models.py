@@ -76,7 +76,7 @@ SELECT doc_id, CAST(c AS INTEGER) AS prediction FROM j QUALIFY row_number() OVER
 )
 def naive_bayes(spark, sf):
     df = corpus(spark, sf)
-    rows = tfidf.fit_tfidf(df, options()).transform(df, keep=["label"])
+    rows = materialize(tfidf.fit_tfidf(df, options()).transform(df, keep=["label"]))
     return bayes.fit_bayes(df, rows, [0, 1, 2, 3]).predict(df, rows)
 
 
