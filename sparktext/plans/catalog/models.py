@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from sparktext.functions import arrays, text
+from sparktext.functions import text
 from sparktext.operators import bayes, tfidf
+from sparktext.operators.joins import lookup
 from sparktext.operators.sampling import train_test_split, with_positions
 from sparktext.plans import annotate, classify, experiment, saving
 from sparktext.plans.catalog.registry import corpus, query
@@ -128,22 +128,28 @@ def annotated_documents(spark, sf):
     return annotate.Annotator(m, lr).annotate(df.select("doc_id", "text")).drop("text")
 
 
+def _character_counts(df):
+    """(doc_id, term, tf) of the characters of the lower-cased text, blanks left out."""
+    shown = F.filter(F.split(text.spaced_characters(F.lower("text")), " "), lambda c: c != "")
+    counted = df.select("doc_id", F.explode(text.term_counts(shown)).alias("_t"))
+    return counted.select("doc_id", "_t.term", F.col("_t.tf").cast("bigint").alias("tf"))
+
+
 @query("c18_text_and_position_features")
 def text_and_position_features(spark, sf):
     turns = read_table(spark, sf, "conversations", "conv_id")
     placed = with_positions(turns, "conv_id", "turn").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
     placed = placed.withColumn("label", (F.col("role") == "assistant").cast("int"))
-    letters = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
-
-    def letter_counts(cs):
-        return F.transform(letters, lambda c: F.size(F.filter(cs, lambda x: x == c)).cast("double"))
-
-    encode = text.let(F.split(text.spaced_characters(F.lower("text")), " "), letter_counts)
     words = tfidf.fit_tfidf(placed, tfidf.TermOptions())
-    counted = placed.withColumn("chars", arrays.l2_normalize(encode))
-    base = words.encode(counted, keep=["label", "line_number", "total_lines", "chars"])
-    vecs = as_vectors(base, words.size, output="words")
-    both = vecs.withColumn("chars", array_to_vector("chars"))
+    # Characters are terms of their own: TF-IDF over all of them, whatever their script.
+    keep = ["label", "line_number", "total_lines"]
+    chars = tfidf.fitted(_character_counts(placed), placed, tfidf.TermOptions())
+    weighted = lookup(_character_counts(placed), chars.vocabulary.select("term", "term_id", "idf"), ["term"], spread_on="doc_id", table_bytes=chars.table_bytes)
+    rows = weighted.select("doc_id", "term_id", (F.col("tf") * F.col("idf")).alias("weight"))
+    alone = placed.select("doc_id", F.lit(None).cast("int").alias("term_id"), F.lit(0.0).alias("weight"))
+    own = as_vectors(tfidf.unit_rows(rows.unionByName(alone)), chars.size, output="chars")
+    vecs = as_vectors(words.encode(placed, keep=keep), words.size, output="words")
+    both = vecs.join(own, "doc_id")
     fused = materialize(classify.fuse_features(both, ["words", "chars"], {"line_number": 15, "total_lines": 20}))
     model = classify.make_classifier("LogisticRegression", fused.count()).fit(fused)
     return classify.predict(model, fused, "doc_id", ["label"])
