@@ -112,20 +112,31 @@ def place_of(packed: Column) -> Column:
 
 def written(picked: Column) -> Column:
     """A fingerprint as a string: hash:place of each selected gram, joined by a space."""
-    return F.array_join(F.transform(picked, lambda p: F.concat(F.lower(F.hex(hash_of(p))), F.lit(":"), place_of(p).cast("string"))), " ")
+    return F.lower(F.array_join(F.transform(picked, lambda p: F.concat(F.hex(hash_of(p)), F.lit(":"), place_of(p).cast("string"))), " "))
 
 
-def likeness(left: Column, right: Column) -> Column:
-    """Shared share of all selected hashes, places left aside; 1 for two texts without units."""
+def hashes(picked: Column) -> Column:
+    """The different hashes of selected grams, places left aside."""
+    return F.array_distinct(F.transform(picked, hash_of))
+
+
+def share(left: Column, right: Column) -> Column:
+    """``likeness`` of two results of ``hashes``; their union is counted, not made, as each holds a hash once."""
 
-    def hashes(picked: Column) -> Column:
-        return F.array_distinct(F.transform(picked, hash_of))
+    def counted(pair: Column) -> Column:
+        either = F.size(pair["l"]) + F.size(pair["r"]) - pair["both"]
+        return F.when(either == 0, F.lit(1.0)).otherwise(pair["both"] / either)
 
-    def share(pair: Column) -> Column:
-        both, either = F.size(F.array_intersect(pair["l"], pair["r"])), F.size(F.array_union(pair["l"], pair["r"]))
-        return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    def met(pair: Column) -> Column:
+        both = F.size(F.array_intersect(pair["l"], pair["r"]))
+        return _let(F.struct(pair["l"].alias("l"), pair["r"].alias("r"), both.alias("both")), counted)
 
-    return _let(F.struct(hashes(left).alias("l"), hashes(right).alias("r")), share)
+    return _let(F.struct(left.alias("l"), right.alias("r")), met)
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """Shared share of all selected hashes, places left aside; 1 for two texts without units."""
+    return share(hashes(left), hashes(right))
 
 
 def fingerprints(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str = "doc_id", text_col: str = "text", select: Callable[..., Column] = selected) -> DataFrame:
@@ -180,9 +191,10 @@ def compare_edited(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str
     without units has an empty fingerprint. Texts are shuffled once, by range of the id.
     """
     dealt = in_ranges(docs, id_col, text_col).repartition("range")
-    picked = dealt.withColumn("picked", selected_everywhere(F.col("text"), gram, window))
+    # The hashes of a text are compared with two others and serve its predecessor too; they are found once.
+    picked = dealt.withColumn("picked", selected_everywhere(F.col("text"), gram, window)).withColumn("hashes", hashes(F.col("picked")))
     along = W.partitionBy("range").orderBy("guest", "key", "text_hash")
-    follows = picked.select("*", F.lead(F.struct("text", "picked")).over(along).alias("next")).where(~F.col("guest"))
+    follows = picked.select("*", F.lead(F.struct("text", "hashes")).over(along).alias("next")).where(~F.col("guest"))
     n_chars = F.char_length("text")
     cut = F.floor(n_chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - cut), F.substring(F.col("next.text"), F.lit(1), cut))
@@ -192,8 +204,9 @@ def compare_edited(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str
         n_chars.cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "picked",
+        "hashes",
         selected_everywhere(F.col("edited"), gram, window).alias("edited_picked"),
-        F.col("next.picked").alias("next_picked"),
+        F.col("next.hashes").alias("next_hashes"),
     )
     return both.select(
         "doc_id",
@@ -201,6 +214,6 @@ def compare_edited(docs: DataFrame, gram: int = 3, window: int = 4, id_col: str
         "edited_sha256",
         written(F.col("picked")).alias("fingerprint"),
         written(F.col("edited_picked")).alias("edited_fingerprint"),
-        likeness(F.col("picked"), F.col("edited_picked")).alias("near_edited"),
-        likeness(F.col("picked"), F.col("next_picked")).alias("near_next"),
+        share(F.col("hashes"), hashes(F.col("edited_picked"))).alias("near_edited"),
+        share(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )
