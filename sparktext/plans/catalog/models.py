@@ -27,7 +27,7 @@ def _vectors(spark, sf):
 def _predictions(spark, sf, name, params=None, n_features=DIM):
     """Predictions for all rows by a model fitted on four fifths of them; ``split`` tells which."""
     df = materialize(train_test_split(_vectors(spark, sf), 0.2, "vec_id"))
-    train = df.where("split = 'train'")
+    train = classify.dealt(df.where("split = 'train'"))
     model = classify.make_classifier(name, train.count(), params, n_features, 10).fit(train)
     return classify.predict(model, df, "vec_id", ["label", "split"])
 
@@ -50,7 +50,7 @@ def rbf_svm(spark, sf):
 @query("c2b_kernel_svm_with_probabilities")
 def kernel_svm_with_probabilities(spark, sf):
     df = materialize(train_test_split(_vectors(spark, sf), 0.2, "vec_id"))
-    train = df.where("split = 'train'")
+    train = classify.dealt(df.where("split = 'train'"))
     model = classify.make_classifier("SVM", train.count(), {"kernel_map": "nystroem", "probability": True}).fit(train)
     return classify.predict_probabilities(model, df, "vec_id", ["label", "split"])
 
