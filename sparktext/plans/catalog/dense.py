@@ -144,7 +144,8 @@ def word_vector_lookup(spark, sf):
 
     counted = documents(spark, sf).select("doc_id", F.explode(text.term_counts(text.words(F.lower("text")))).alias("_t"))
     tokens = counted.select("doc_id", F.col("_t.term").alias("word"), F.col("_t.tf").alias("tf"))
-    known = lookup(tokens, word_vectors(spark, sf), ["word"], spread_on="doc_id")
+    # Only known words count here: their vectors would be stored, measured and shuffled for nothing.
+    known = lookup(tokens, word_vectors(spark, sf).select("word"), ["word"], spread_on="doc_id")
     return known.groupBy("doc_id").agg(F.sum("tf").alias("known"), F.count(F.lit(1)).alias("distinct_known"))
 
 
