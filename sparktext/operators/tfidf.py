@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparktext.functions import text
 from sparktext.operators.joins import lookup, measure, require_columns
 from sparktext.operators.ranking import ONE_TASK_ROWS, ranked, ranked_table
-from sparktext.session import materialize
+from sparktext.session import materialize, sized_shuffles
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,9 @@ def fitted(counts: DataFrame, df: DataFrame, options: TermOptions) -> TfidfModel
 
 def fitted_terms(terms: DataFrame, df: DataFrame, options: TermOptions) -> TfidfModel:
     """Model of counted terms (term, df, corpus_count) of the documents ``df``."""
-    table = materialize(chosen_terms(terms, df.agg(F.count(F.lit(1)).alias("n_docs")), options))
+    low, high = options.ngram_range
+    with sized_shuffles(df, high - low + 1):
+        table = materialize(chosen_terms(terms, df.agg(F.count(F.lit(1)).alias("n_docs")), options))
     return TfidfModel(table, options, *measure(table))
 
 
