@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktext.operators.blocks import TermBlocks
 from sparktext.operators.joins import lookup
 from sparktext.session import materialize
 
@@ -28,9 +29,17 @@ class BayesModel:
         found = lookup(rows, self.likelihoods, ["term"], spread_on=key)
         sums = [F.sum(F.col("weight") * F.get("scores", F.lit(i))).alias(f"_s{i}") for i in range(len(self.labels))]
         scored = found.groupBy(key).agg(*sums)
-        joint = F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) + F.get("prior", F.lit(i)) for i in range(len(self.labels))])
+        return self._best(docs.select(key).join(scored, key, "left"), key, [f"_s{i}" for i in range(len(self.labels))])
+
+    def predict_blocks(self, docs: TermBlocks, weights: DataFrame) -> DataFrame:
+        """``predict`` for documents in blocks with the weights (term, idf) of their terms."""
+        n = len(self.labels)
+        return self._best(docs.scored(weights, self.likelihoods, n), docs.key, [F.get("scores", F.lit(i)) for i in range(n)])
+
+    def _best(self, scored: DataFrame, key: str, scores: Sequence[Column | str]) -> DataFrame:
+        joint = F.array(*[F.coalesce(x, F.lit(0.0)) + F.get("prior", F.lit(i)) for i, x in enumerate(scores)])
         classes = F.array(*[F.lit(x) for x in self.labels])
-        out = docs.select(key).join(scored, key, "left").crossJoin(F.broadcast(self.priors)).withColumn("_j", joint)
+        out = scored.crossJoin(F.broadcast(self.priors)).withColumn("_j", joint)
         best = F.array_position("_j", F.array_max("_j")).cast("int")
         return out.select(key, F.get(classes, best - 1).alias("prediction"))
 
