@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktext.functions import text
-from sparktext.operators import catfreq, cleaning, tfidf
+from sparktext.operators import blocks, catfreq, cleaning, tfidf
 from sparktext.plans.catalog.registry import (
     SQL_COUNTS,
     SQL_TOKENS,
@@ -100,8 +100,9 @@ SELECT lang, term, round(mean_weight, 6) AS mean_weight, row_number() OVER (PART
 )
 def top_terms_per_class(spark, sf):
     df = cleaning.clean_text(documents(spark, sf).select("doc_id", "lang", "text"), drop_blank=True)
-    rows = tfidf.fit_tfidf(df, options()).transform(df, keep=["lang"])
-    sizes = df.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs"))
+    docs = blocks.counted(df, options(), keep=["lang"])
+    rows = docs.summed(docs.weights(), "lang")
+    sizes = docs.rows().groupBy("lang").agg(F.count(F.lit(1)).alias("_docs"))
     # Classes x vocabulary is bounded, so the ranking below sees few rows.
     sums = rows.groupBy("lang", "term").agg(F.sum("weight").alias("_sum")).join(sizes, "lang")
     means = sums.select("lang", "term", F.round(F.col("_sum") / F.col("_docs"), 6).alias("mean_weight"))
