@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from sparktext.llm.common import identified, slices
 
 # Words remembered per Python worker, with their ids or with the number of them; beyond that the memory
-# is emptied and filled again.
+# is emptied and filled again. Of numbers, the last full memory is held beside the one being filled.
 REMEMBERED = 400_000
 COUNTED = 300_000
 # Symbols up to which looking for the least rank anew is quicker than a queue.
@@ -78,16 +78,23 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 
 
 class _Counts(dict):
-    """Number of ids of each word met, filled on demand."""
+    """Number of ids of each word met, filled on demand.
+
+    Words of the memory that was full last are taken over as they are met again, so frequent ones stay.
+    """
 
     def __init__(self, count_word):
         super().__init__()
         self.count_word = count_word
+        self.earlier: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        n = self.count_word(word)
+        n = self.earlier.get(word)
+        if n is None:
+            n = self.count_word(word)
         if len(word) <= 64:
             if len(self) >= COUNTED:
+                self.earlier = dict(self)
                 self.clear()
             self[word] = n
         return n
@@ -121,6 +128,7 @@ class Vocabulary:
         self.bytes = byte_symbols()
         self.words: dict[str, str] = {}
         self.counts = _Counts(self.count_word)
+        self.sign_counts = _Counts(self.count_piece)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a normalised stretch without blanks."""
@@ -133,17 +141,18 @@ class Vocabulary:
 
     def count_word(self, word: str) -> int:
         """Number of ids of a normalised stretch without blanks."""
-        if self.letters_whole and word.isalpha():
-            # The symbol of an ASCII letter's byte is the letter.
-            symbols = list(word) if word.isascii() else [self.bytes[b] for b in word.encode()]
-            symbols[-1] += self.end
-            return merged_count(symbols, self.ranks)
-        n = 0
-        for piece in self.pieces.findall(word):
-            symbols = [self.bytes[b] for b in piece.encode()]
-            symbols[-1] += self.end
-            n += merged_count(symbols, self.ranks)
-        return n
+        if not self.letters_whole:
+            return sum(map(self.count_piece, self.pieces.findall(word)))
+        if word.isalpha():
+            return self.count_piece(word)
+        # A piece of letters is counted as the word that it is by itself.
+        return sum([self.counts[p] if p.isalpha() else self.sign_counts[p] for p in self.pieces.findall(word)])
+
+    def count_piece(self, piece: str) -> int:
+        # The symbol of an ASCII letter's byte is the letter.
+        symbols = list(piece) if piece.isascii() and piece.isalpha() else [self.bytes[b] for b in piece.encode()]
+        symbols[-1] += self.end
+        return merged_count(symbols, self.ranks)
 
     def words_of(self, text: str) -> list[str]:
         # The lower case of each character by itself: no word-final form of sigma.
