@@ -110,3 +110,20 @@ def test_boosted_grid_reads_smaller_models_from_larger_ones(points):
     assert found == alone and max(found) > 0.75
     search = classify.grid_search(df, "XGBClassifier", {"n_estimators": [2, 5], "max_depth": [2]}, folds=2, key="vec_id")
     assert [p["n_estimators"] for p, _ in search.points] == [2, 5] and search.transform(df).where(F.col("prediction").isNull()).count() == 0
+
+
+def test_boosted_grid_is_trained_on_all_rows(points, monkeypatch):
+    """Rows were sampled above a bound; now a table too large for a task is passed over in blocks."""
+    df = points[1].where("label IS NOT NULL")
+    settings = [{"n_estimators": n, "max_depth": 2, "learning_rate": 0.3} for n in (1, 4)]
+    seen = []
+
+    def watched(data, cuts, classes, models, folds, inner=grids._in_tasks):
+        seen.append(data.count())
+        return inner(data, cuts, classes, models, folds)
+
+    monkeypatch.setattr(grids, "_in_tasks", watched)
+    in_tasks = grids.boosted_points(df, settings, 3, "vec_id")
+    monkeypatch.setattr(grids, "TASK_BYTES", 0)
+    in_passes = grids.boosted_points(df, settings, 3, "vec_id")
+    assert seen == [df.count()] and in_passes == pytest.approx(in_tasks, abs=0.02)
