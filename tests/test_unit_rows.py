@@ -71,7 +71,7 @@ def test_no_rows(docs):
 
 @pytest.mark.parametrize(
     "query",
-    [weighting.weights_of_predicted_class, weighting.maximum_weights, weighting.probabilistic_weights, weighting.term_explanation, weighting.top_terms_of_document],
+    [weighting.weights_of_predicted_class, weighting.maximum_weights, weighting.probabilistic_weights, weighting.term_explanation, weighting.top_terms_of_document, weighting.inverse_category_rows],
 )
 def test_no_lookup_per_document_and_term(spark, monkeypatch, query):
     """Rows met their values once per document and term, over shuffles of all of them."""
