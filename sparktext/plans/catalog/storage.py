@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparktext.operators import catfreq, evaluate, tfidf
+from sparktext.operators import blocks, catfreq, evaluate, tfidf
 from sparktext.plans.catalog.evaluation import _SCORES, SQL_PAIRS, pairs
 from sparktext.plans.catalog.registry import SQL_CORPUS, corpus, documents, query
 from sparktext.plans.catalog.vectorising import SQL_TFIDF, SQL_VOCABULARY, options
@@ -110,8 +110,9 @@ def word_vector_text(spark, sf):
 def sparse_vector_round_trip(spark, sf):
     path = scratch_path(spark, "sparse")
     df = corpus(spark, sf)
-    fit = tfidf.fit_tfidf(df, options())
-    vectors.write_vectors(fit.encode(df, keep=["label"]), fit.size, path)
+    docs = blocks.counted(df, options(), keep=["label"])
+    fit = tfidf.fitted_terms(docs.terms(), df, options())
+    vectors.write_vectors(docs.encode(fit.vocabulary), fit.size, path)
     stored = vectors.read_vectors(spark, path).schema
     # The stored form of a sparse vector, so that no row becomes as long as the vocabulary.
     form = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"

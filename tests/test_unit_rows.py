@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktext.operators import blocks, catfreq, joins, tfidf
-from sparktext.plans.catalog import weighting
+from sparktext.plans.catalog import storage, weighting
 
 ROWS = [
     (1, "aa bb bb cc", 0),
@@ -71,7 +71,7 @@ def test_no_rows(docs):
 
 @pytest.mark.parametrize(
     "query",
-    [weighting.weights_of_predicted_class, weighting.maximum_weights, weighting.probabilistic_weights, weighting.term_explanation, weighting.top_terms_of_document, weighting.inverse_category_rows],
+    [weighting.weights_of_predicted_class, weighting.probabilistic_weights, weighting.maximum_weights, weighting.inverse_category_rows, weighting.term_explanation, weighting.top_terms_of_document, storage.sparse_vector_round_trip],
 )
 def test_no_lookup_per_document_and_term(spark, monkeypatch, query):
     """Rows met their values once per document and term, over shuffles of all of them."""
